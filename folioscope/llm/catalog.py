@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, packing
+from . import hilbert, packing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (packing.op8_best_fit_packing, hilbert.op10_hilbert_sharding)}
+    return {f.__name__: f for f in (packing.op8_best_fit_packing, topk.op9_exact_top_k, hilbert.op10_hilbert_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_top_k": topk.OP9_SQL}
