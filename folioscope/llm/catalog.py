@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, packing, topk
+from . import chat, hilbert, packing, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (packing.op8_best_fit_packing, topk.op9_exact_top_k, hilbert.op10_hilbert_sharding)}
+    return {f.__name__: f for f in (warc.op1_warc_normaliser, chat.op2_chat_formatting, packing.op8_best_fit_packing, topk.op9_exact_top_k, hilbert.op10_hilbert_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_top_k": topk.OP9_SQL}
+    return {"op1_warc_normaliser": warc.OP1_SQL, "op2_chat_formatting": chat.OP2_SQL, "op9_exact_top_k": topk.OP9_SQL}
