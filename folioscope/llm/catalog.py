@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, hilbert, packing, topk, warc
+from . import chat, hilbert, packing, simhash, sketch, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (warc.op1_warc_normaliser, chat.op2_chat_formatting, packing.op8_best_fit_packing, topk.op9_exact_top_k, hilbert.op10_hilbert_sharding)}
+    return {f.__name__: f for f in (warc.op1_warc_normaliser, chat.op2_chat_formatting, simhash.op4_simhash_anchors, sketch.op7_scaled_sketch, packing.op8_best_fit_packing, topk.op9_exact_top_k, hilbert.op10_hilbert_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
