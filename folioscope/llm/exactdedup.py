@@ -79,9 +79,14 @@ SPANS = "id {0}, th long, start long, end long"
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, th, text): rows of equal key and text share id and th, and have the same repeats."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
+    """(id, th, text): rows of equal key and text share id and th, and have the same repeats.
+
+    Neither is null, so that joins are plain equalities on what the rows are partitioned by: th is a hash of the text whose
+    lowest bit says that the key is null.
+    """
+    t, k = F.coalesce(F.col(text), F.lit("")), F.col(key)
+    th = F.xxhash64(t).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(k.isNull().cast("long"))
+    return docs.select(F.coalesce(k, F.lit("0").cast(docs.schema[key].dataType)).alias("id"), th.alias("th"), t.alias("text"))
 
 
 def _list_anchors(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
@@ -237,7 +242,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
 
     def beside(anchors: DataFrame) -> DataFrame:
         one = anchors.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("g", "a", "first", "last", "n")).alias("listed"))
-        on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+        on = (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))
         return spread.join(one.hint("shuffle_hash"), on).select("id", "th", "text", "listed")
 
     few = _cut_contexts(beside(chosen.where(F.col("n") <= hot)), kind, length)
@@ -252,8 +257,9 @@ def with_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram:
     """(id, text, spans), a row per input row; spans is null where nothing repeats."""
     spread, spans = repeated_spans(docs, key, text, length, gram, hot)
     right = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans").hint("shuffle_hash")
-    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
-    return spread.join(right, on, "left").select("id", "th", "text", "spans")
+    on = (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))
+    whole = spread.join(right, on, "left")
+    return whole.select(F.when(F.col("th").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("id")).alias("id"), "th", "text", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
