@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exactdedup, hilbert, packing, simhash, sketch, topk, toxicity, warc
+from . import chat, exactdedup, hilbert, mixing, packing, simhash, sketch, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (warc.op1_warc_normaliser, chat.op2_chat_formatting, exactdedup.op3_suffix_dedup, simhash.op4_simhash_anchors, toxicity.op5_toxicity_grammar, sketch.op7_scaled_sketch, packing.op8_best_fit_packing, topk.op9_exact_top_k, hilbert.op10_hilbert_sharding)}
+    return {f.__name__: f for f in (warc.op1_warc_normaliser, chat.op2_chat_formatting, exactdedup.op3_suffix_dedup, simhash.op4_simhash_anchors, toxicity.op5_toxicity_grammar, mixing.op6_pfair_mixing, sketch.op7_scaled_sketch, packing.op8_best_fit_packing, topk.op9_exact_top_k, hilbert.op10_hilbert_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -78,15 +78,15 @@ ANCHORS = "id {0}, th long, g long, a long, first long, last long"
 SPANS = "id {0}, th long, start long, end long"
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, th, text): rows of equal key and text share id and th, and have the same repeats.
+def _keyed(docs: DataFrame, key: str, text: str, carry: list[Column]) -> DataFrame:
+    """(id, th, text, *carry): rows of equal key and text share id and th, and have the same repeats.
 
     Neither is null, so that joins are plain equalities on what the rows are partitioned by: th is a hash of the text whose
     lowest bit says that the key is null.
     """
     t, k = F.coalesce(F.col(text), F.lit("")), F.col(key)
     th = F.xxhash64(t).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(k.isNull().cast("long"))
-    return docs.select(F.coalesce(k, F.lit("0").cast(docs.schema[key].dataType)).alias("id"), th.alias("th"), t.alias("text"))
+    return docs.select(F.coalesce(k, F.lit("0").cast(docs.schema[key].dataType)).alias("id"), th.alias("th"), t.alias("text"), *carry)
 
 
 def _list_anchors(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _cut_contexts(joined: DataFrame, kind: str, length: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 out: dict[str, list] = {x: [] for x in schema.names}
-                for i, th, text, listed in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns)):
+                for i, th, text, listed in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns[:4])):
                     t = text.encode()
                     found: dict[tuple, list[int]] = {}
                     for x in listed:
@@ -213,7 +213,7 @@ def _mark_hot(joined: DataFrame, kind: str, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 16):
-                for i, th, text, listed in zip(*(c.to_pylist() for c in b.slice(lo, 16).columns)):
+                for i, th, text, listed in zip(*(c.to_pylist() for c in b.slice(lo, 16).columns[:4])):
                     t = text.encode()
                     at = sorted({s for x in listed for s in range(x["first"], x["last"] + 1)})
                     raw = np.frombuffer(b"".join(hashlib.blake2b(t[s : s + length], digest_size=16).digest() for s in at), "<i8").reshape(-1, 2)
@@ -225,16 +225,16 @@ def _mark_hot(joined: DataFrame, kind: str, length: int) -> DataFrame:
     return starts.join(again, ["h1", "h2"]).select("id", "th", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(keyed texts, listed spans): (id, th, text) and (id, th, spans), spans an array of (start, end) in bytes, not merged.
+def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keyed texts, listed spans): (id, th, text, *carry) and (id, th, spans), spans an array of (start, end) in bytes, not merged.
 
     Rows that repeat (equal key and text) each count as a document; their whole texts of ``length`` bytes or more repeat.
     """
     spark = docs.sparkSession
     common.ship(spark)
     kind = docs.schema[key].dataType.simpleString()
-    keyed = _keyed(docs, key, text)
-    listed = common.materialize(_list_anchors(keyed, kind, length, gram), "anchors", "snappy")
+    keyed = _keyed(docs, key, text, carry or [])
+    listed = common.materialize(_list_anchors(keyed.select("id", "th", "text"), kind, length, gram), "anchors", "snappy")
     often = listed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     # texts cross the network once: both joins below start from this exchange
     spread = keyed.repartition(common.shuffle_partitions(spark), "id", "th")
@@ -243,7 +243,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
     def beside(anchors: DataFrame) -> DataFrame:
         one = anchors.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("g", "a", "first", "last", "n")).alias("listed"))
         on = (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))
-        return spread.join(one.hint("shuffle_hash"), on).select("id", "th", "text", "listed")
+        return spread.join(one.hint("shuffle_hash"), on).select("id", "th", "text", "listed", *keyed.columns[3:])
 
     few = _cut_contexts(beside(chosen.where(F.col("n") <= hot)), kind, length)
     contexts = few.repartition(common.shuffle_partitions(spark), "g").sortWithinPartitions("g")
@@ -253,13 +253,13 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
     return spread, spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, text, spans), a row per input row; spans is null where nothing repeats."""
-    spread, spans = repeated_spans(docs, key, text, length, gram, hot)
+def with_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[Column] | None = None) -> DataFrame:
+    """(id, th, text, spans, *carry), a row per input row; spans is null where nothing repeats."""
+    spread, spans = repeated_spans(docs, key, text, length, gram, hot, carry)
     right = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans").hint("shuffle_hash")
     on = (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))
     whole = spread.join(right, on, "left")
-    return whole.select(F.when(F.col("th").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("id")).alias("id"), "th", "text", "spans")
+    return whole.select(F.when(F.col("th").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("id")).alias("id"), "th", "text", "spans", *spread.columns[3:])
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -282,6 +282,31 @@ def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
+def remove(docs: DataFrame, key: str, text: str, length: int = LENGTH, chars: str | None = None) -> DataFrame:
+    """``docs`` with the covered bytes taken out of ``text``, and ``chars`` (if given) counted anew.
+
+    A character that loses some of its bytes goes whole. Null texts stay null; a text of which nothing remains is empty.
+    """
+    names = docs.columns
+    whole = with_spans(docs, key, text, length, carry=[F.col(f"`{c}`").alias(f"c{i}") if c != text else F.col(f"`{c}`").isNull().alias(f"c{i}") for i, c in enumerate(names)])
+    schema = common.arrow_type(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at, count = names.index(text), names.index(chars) if chars else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns[2:])
+            texts = []
+            for t, spans, null in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), columns[at].to_pylist()):
+                texts.append(None if null else kept(t.encode(), merged(spans)).decode("utf-8", "ignore") if spans else t)
+            columns[at] = pa.array(texts, schema.field(at).type)
+            if chars:
+                columns[count] = pa.array([None if t is None else len(t) for t in texts], schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return whole.select("text", "spans", *[f"c{i}" for i in range(len(names))]).mapInArrow(run, ddl)
+
+
 DIGEST = "doc_id {0}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 

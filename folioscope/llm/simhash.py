@@ -209,37 +209,70 @@ def _home_counts(batches: Iterator[pa.RecordBatch], blocks: int, schema: pa.Sche
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n.astype(np.int64))], schema=schema)
 
 
-def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, f): the fingerprint of each row's whole text, as a signed long. A null text has no words."""
-    kind = docs.schema[key].dataType.simpleString()
-    ddl = f"{key} {kind}, f long"
+def fingerprints(docs: DataFrame, key: str, text: str, carry: list[str] | None = None) -> DataFrame:
+    """(key, *carry, f): the fingerprint of each row's whole text, as a signed long. A null text has no words."""
+    names = [key, *(carry or [])]
+    ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names) + ", f long"
     schema = common.arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                f = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f.view(np.int64))], schema=schema)
+                f = np.array([fingerprint(t) for t in part.column(len(names)).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(f.view(np.int64))], schema=schema)
 
     common.ship(docs.sparkSession)
-    return docs.select(key, text).mapInArrow(run, ddl)
+    return docs.select(*names, text).mapInArrow(run, ddl)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(key, f, component_id): component_id is the least key reachable over links of at most ``distance`` bits.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, carry: list[str] | None = None) -> DataFrame:
+    """(key, *carry, f, root, component_id): component_id is the least key reachable over links of at most ``distance`` bits.
 
-    One row per input row. Rows without words share fingerprint zero and link like any other. Null keys are in their
-    component but never its id, unless it has no other.
+    One row per input row; root is the least fingerprint of the component. Rows without words share fingerprint zero
+    and link like any other. Null keys are in their component but never its id, unless it has no other.
     """
-    marked = common.materialize(fingerprints(docs, key, text), "fingerprints")
+    names = [key, *(carry or [])]
+    marked = common.materialize(fingerprints(docs, key, text, carry), "fingerprints")
     distinct = common.materialize(marked.groupBy("f").agg(F.min(key).alias("least")), "distinct")
     roots = common.components(links(distinct, distance))
     joined = distinct.join(roots, distinct["f"] == roots["node"], "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     joined = common.materialize(joined, "roots")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "root").select(F.col("f").alias("_f"), "component_id")
-    return marked.join(named, marked["f"] == named["_f"]).select(key, "f", "component_id")
+    named = joined.join(least, "root").select(F.col("f").alias("_f"), "root", "component_id")
+    return marked.join(named, marked["f"] == named["_f"]).select(*names, "f", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row of each component: that of the least key, ties by a hash of the text; of rows equal in both, any one."""
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    k, t = (f"c{names.index(c)}" for c in (key, text))
+    marked = plain.withColumn("th", F.xxhash64(F.coalesce(F.col(t), F.lit(""))).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.col(k).isNull().cast("long")))
+    found = near_duplicates(marked, k, t, distance, ["th"]).groupBy("root", k, "th").agg(F.count("*").alias("n"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(k).isNull().alias("null"), k, "th", "n")).alias("m"))
+    zero = F.lit("0").cast(plain.schema[k].dataType)
+    kept = first.select(F.coalesce(F.col(f"m.{k}"), zero).alias("_k"), F.col("m.th").alias("_th"), (F.col("m.n") > 1).alias("again")).hint("shuffle_hash")
+    parts = common.shuffle_partitions(docs.sparkSession)
+    spread = marked.withColumn("k", F.coalesce(F.col(k), zero)).repartition(parts, "k", "th")
+    joined = spread.join(kept, (F.col("k") == F.col("_k")) & (F.col("th") == F.col("_th"))).select(*plain.columns, "k", "th", "again")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    schema = common.arrow_type(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of survivors that repeat; rows of equal key and text are in one partition
+        for b in batches:
+            again = b.column(b.num_columns - 1).to_pylist()
+            if any(again):
+                keep = []
+                for pair, more in zip(zip(b.column(b.num_columns - 3).to_pylist(), b.column(b.num_columns - 2).to_pylist()), again):
+                    keep.append(not more or pair not in seen)
+                    if more:
+                        seen.add(pair)
+                b = b.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(b.columns[:-3], schema=schema)
+
+    return joined.mapInArrow(run, ddl).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op4_simhash_anchors(spark, sf_dir: str) -> DataFrame:

@@ -279,9 +279,9 @@ def _lexicon(matches: list[tuple[bool, list[str]]], good: set[str], np_: int, nn
     return model
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a score (0 to 1) for each whole text; a null text is empty. Other columns are never read."""
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with ``name``: a score (0 to 1) for each whole text; a null text is empty. Other columns are never read."""
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
     schema, at = common.arrow_type(kind), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +296,12 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, kind)
 
 
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; the model learns from those of them that have labels."""
+    model = train(docs, labels)
+    return scored(docs, model, name="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+
+
 def op5_toxicity_grammar(spark, sf_dir: str) -> DataFrame:
     """All documents with their scores."""
     docs = common.table(spark, sf_dir, "documents")
