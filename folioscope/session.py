@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,3 +49,21 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that all executors share: that of spark.checkpoint.dir, or a temporary one where this machine is the whole cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="folioscope-scratch-")
+        atexit.register(shutil.rmtree, _SCRATCH[app], ignore_errors=True)
+    return "file://" + _SCRATCH[app]
