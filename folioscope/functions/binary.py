@@ -21,7 +21,7 @@ def unsigned(data: Column, start: int | Column, width: int) -> Column:
     h = F.hex(piece(data, s, width))
     turned = F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(width - 1, -1, -1)])
     value = F.conv(turned, 16, 10).cast("decimal(20,0)")
-    return F.when(value < F.lit(2**63).cast("decimal(20,0)"), value.cast("long"))
+    return F.when(value < F.lit(str(2**63)).cast("decimal(20,0)"), value.cast("long"))
 
 
 def uuid_text(data: Column, start: int = 8) -> Column:

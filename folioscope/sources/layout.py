@@ -177,7 +177,8 @@ def build(entries: list[dict], mimes: list[str], clusters: list[bytes], main_pag
     at = HEADER.size + len(mime)
     path_pos = at
     at += 8 * len(entries)
-    titles = sorted(range(len(entries)), key=lambda i: ((entries[i].get("title") or "").encode(), i))
+    raw = lambda x: x if isinstance(x, bytes) else (x or "").encode()
+    titles = sorted(range(len(entries)), key=lambda i: (raw(entries[i].get("title")), i))
     title_pos = at
     at += 4 * len(entries)
     cluster_pos = at
@@ -198,7 +199,6 @@ def build(entries: list[dict], mimes: list[str], clusters: list[bytes], main_pag
         elif e["type"] not in (LINKTARGET, DELETED):
             d += struct.pack("<II", e["cluster_id"], e["blob_id"])
         if e["type"] not in (LINKTARGET, DELETED):
-            raw = lambda x: x if isinstance(x, bytes) else (x or "").encode()
             d += raw(e["path"]) + b"\0" + raw(e["title"]) + b"\0"
         dirents.append(d)
         at += len(d)

@@ -71,10 +71,11 @@ def same_message(method: str, value: str, kept_method: str, kept_value: str) ->
 MESSAGE = "log long, seq long, method string, value string"
 
 
-def collapsed_stream(messages: DataFrame, idle_ms: int = 60_000) -> DataFrame:
+def collapsed_stream(messages: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Collapses Progress runs in a stream of (log, seq, method, value) whose logs arrive in order.
 
-    A log's state is the one message that may still be replaced; it is given out when another follows, or after ``idle_ms`` without one.
+    A log's state is the one message that may still be replaced; it is given out when another follows, or after ``idle_ms`` (if
+    given) without one. With ``idle_ms`` a query never ends by itself, since time alone can bring rows.
     """
     ship(messages.sparkSession)
 
@@ -91,10 +92,11 @@ def collapsed_stream(messages: DataFrame, idle_ms: int = 60_000) -> DataFrame:
                     out.append(kept)
                 kept = row
             state.update(kept)
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *map(_plain, r)) for r in out], columns=["log", "seq", "method", "value"])
 
-    return messages.groupBy("log").applyInPandasWithState(step, MESSAGE, "seq long, method string, value string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("log").applyInPandasWithState(step, MESSAGE, "seq long, method string, value string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _plain(x):
