@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ship, table
 
-__all__ = ["arrow_type", "components", "global_rank", "materialize", "new_path", "to_batch", "ship", "shuffle_partitions", "table"]
+__all__ = ["arrow_type", "components", "drop_at_exit", "global_rank", "materialize", "new_path", "to_batch", "ship", "shuffle_partitions", "table"]
 
 _LOCAL: dict[str, str] = {}
 
@@ -43,11 +43,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder that exists now deleted when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, and later passes see the same rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -270,8 +270,11 @@ def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
 def op1_warc_normaliser(spark, sf_dir: str) -> DataFrame:
     """All pages written to monolithic archives, normalised, and read back through the offset index."""
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    whole = write_monolithic(revisits(pages), common.new_path(spark, "warc-monolithic"))
-    done = normalise(whole, common.new_path(spark, "warc"), drop_source=True)
+    folders = [common.new_path(spark, name) for name in ("warc-monolithic", "warc")]
+    whole = write_monolithic(revisits(pages), folders[0])
+    done = normalise(whole, folders[1], drop_source=True)
+    for f in folders:
+        common.drop_at_exit(spark, f)
     return read(index(done)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
