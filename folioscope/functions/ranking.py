@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys looked at to draw limits, at most.
-SAMPLE = 2000
+#: Keys looked at to draw limits, at most, for each range.
+SAMPLE = 40
 
 
 def limits(df: DataFrame, key: str, parts: int) -> list:
     """Up to ``parts`` - 1 rising keys."""
-    rows = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(SAMPLE).collect()
+    rows = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(SAMPLE * parts).collect()
     found = sorted({r[0] for r in rows}, key=lambda k: k.encode() if isinstance(k, str) else k)
     return sorted({found[len(found) * i // parts] for i in range(1, parts)}, key=lambda k: k.encode() if isinstance(k, str) else k) if found else []
 
@@ -32,8 +32,9 @@ def range_of(key: Column, bounds: list) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << b) for b in range(n.bit_length() - 1, -1, -1)]), F.lit(0), step)
 
 
-def with_rank(df: DataFrame, within: list[str], key: str, ties: list[str], name: str, parts: int = 32) -> DataFrame:
+def with_rank(df: DataFrame, within: list[str], key: str, ties: list[str], name: str, parts: int | None = None) -> DataFrame:
     """Adds ``name``: the row's place, from 0, among rows of equal ``within`` by key, then ties. Null keys come first."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = limits(df, key, parts)
     cut = df.withColumn("_range", F.coalesce(range_of(F.col(key), bounds), F.lit(0)))
     sizes = cut.groupBy(*within, "_range").agg(F.count("*").alias("_n"))

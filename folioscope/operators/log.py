@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_line, words
 
+#: How many values of seq a task takes of one log at a time.
+STRETCH = 100_000
 METHODS = ("Group", "GroupEnd", "Log", "Info", "Warn", "Error", "Progress")
 
 
@@ -26,21 +28,34 @@ def enabled(messages: DataFrame, methods: dict[str, bool]) -> DataFrame:
     return messages.where(switch.isin(on) if on else F.lit(False))
 
 
-def _order(key: list[str], order: str = "seq") -> tuple:
-    return Window.partitionBy(*key).orderBy(order), Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def with_depth(messages: DataFrame, key: list[str]) -> DataFrame:
+def with_depth(messages: DataFrame, key: list[str], stretch: int = STRETCH) -> DataFrame:
     """Adds depth: a group is shown before it nests, its end after it unnests; surplus ends leave depth at 0.
 
-    The depth after each message is the running sum of steps above its lowest value so far.
+    The depth after each message is the running sum of steps above its lowest value so far. Both are worked out within
+    stretches of a log and carried from one stretch to the next by a row each, so one long log is shared among tasks.
     """
-    _, upto = _order(key)
     step = F.when(F.col("method") == "Group", 1).when(F.col("method") == "GroupEnd", -1).otherwise(0)
-    s = messages.withColumn("_s", F.sum(step).over(upto))
-    after = s.withColumn("_after", F.col("_s") - F.least(F.lit(0), F.min("_s").over(upto)))
-    depth = F.when(F.col("method") == "Group", F.col("_after") - 1).otherwise(F.col("_after"))
-    return after.withColumn("depth", depth.cast("long")).drop("_s", "_after")
+    upto = Window.partitionBy(*key, "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    s = messages.withColumn("_stretch", F.floor(F.col("seq") / stretch)).withColumn("_s", F.sum(step).over(upto)).withColumn("_low", F.min("_s").over(upto))
+    ends = s.groupBy(*key, "_stretch").agg(F.max_by("_s", "seq").alias("_sum"), F.min("_low").alias("_least"))
+    before = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    ends = ends.withColumn("_floor", F.least(F.lit(0), F.min(F.col("_at") + F.col("_least")).over(before))).select(*key, "_stretch", "_at", "_floor")
+    carried = s.join(ends, [*key, "_stretch"])
+    after = F.col("_at") + F.col("_s") - F.least(F.coalesce("_floor", F.lit(0)), F.col("_at") + F.col("_low"))
+    depth = F.when(F.col("method") == "Group", after - 1).otherwise(after)
+    return carried.withColumn("depth", depth.cast("long")).select(*messages.columns, "depth")
+
+
+def with_next(messages: DataFrame, key: list[str], stretch: int = STRETCH) -> DataFrame:
+    """Adds next_method and next_value: the message that follows in its log (null at the end)."""
+    row = F.struct("method", "value")
+    s = messages.withColumn("_stretch", F.floor(F.col("seq") / stretch))
+    first = s.groupBy(*key, "_stretch").agg(F.min_by(row, "seq").alias("_first"))
+    following = first.select(*key, "_stretch", F.lead("_first").over(Window.partitionBy(*key).orderBy("_stretch")).alias("_first"))
+    near = F.lead(row).over(Window.partitionBy(*key, "_stretch").orderBy("seq"))
+    n = s.withColumn("_near", near).join(following, [*key, "_stretch"]).withColumn("_next", F.coalesce("_near", "_first"))
+    return n.select(*messages.columns, F.col("_next.method").alias("next_method"), F.col("_next.value").alias("next_value"))
 
 
 def indent(depth: Column) -> Column:
@@ -77,13 +92,11 @@ def same(method: Column, value: Column, kept_method: Column, kept_value: Column)
     return F.coalesce(F.when((method == "Progress") & (kept_method == "Progress"), progress).otherwise(equal), F.lit(False))
 
 
-def collapsed(messages: DataFrame, key: list[str]) -> DataFrame:
+def collapsed(messages: DataFrame, key: list[str], stretch: int = STRETCH) -> DataFrame:
     """A Progress message replaces the one right before it if it repeats it; the last of each run stays."""
-    w, _ = _order(key)
-    next_method, next_value = F.lead("method").over(w), F.lead("value").over(w)
-    n = messages.withColumns({"_m": next_method, "_v": next_value})
-    replaced = (F.col("_m") == "Progress") & same(F.col("_m"), F.col("_v"), F.col("method"), F.col("value"))
-    return n.where(~F.coalesce(replaced, F.lit(False))).drop("_m", "_v")
+    n = with_next(messages, key, stretch)
+    replaced = (F.col("next_method") == "Progress") & same(F.col("next_method"), F.col("next_value"), F.col("method"), F.col("value"))
+    return n.where(~F.coalesce(replaced, F.lit(False))).drop("next_method", "next_value")
 
 
 def reset(messages: DataFrame, errors: bool = True, warnings: bool = True) -> DataFrame:

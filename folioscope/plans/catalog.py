@@ -282,11 +282,8 @@ def log_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {_NEXT} SELECT user_id, seq, coalesce({_SAME}, false) AS same FROM x WHERE n_method IS NOT NULL")
 def progress_same(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("seq")
-    n = _messages(spark, sf_dir).withColumns({"n_method": F.lead("method").over(w), "n_value": F.lead("value").over(w)}).where("n_method is not null")
-    return n.select("user_id", "seq", log.same(F.col("n_method"), F.col("n_value"), F.col("method"), F.col("value")).alias("same"))
+    n = log.with_next(_messages(spark, sf_dir), _KEY).where("next_method is not null")
+    return n.select("user_id", "seq", log.same(F.col("next_method"), F.col("next_value"), F.col("method"), F.col("value")).alias("same"))
 
 
 @_register(f"WITH {_LOG} SELECT user_id, seq, method FROM m WHERE method = 'Error'")

@@ -53,14 +53,16 @@ def by_log(rows, *cols):
     return out
 
 
-def test_collapse(logs):
+@pytest.mark.parametrize("stretch", [1, 3, 1000])
+def test_collapse(logs, stretch):
     df, model = logs
-    assert by_log(log.collapsed(df, ["key"]).collect(), "seq", "method", "value") == {k: model_collapse(m) for k, m in model.items()}
+    assert by_log(log.collapsed(df, ["key"], stretch).collect(), "seq", "method", "value") == {k: model_collapse(m) for k, m in model.items()}
 
 
-def test_depth(logs, spark):
+@pytest.mark.parametrize("stretch", [1, 3, 1000])
+def test_depth(logs, spark, stretch):
     df, model = logs
-    assert by_log(log.with_depth(df, ["key"]).collect(), "seq", "depth") == {k: model_depth(m) for k, m in model.items()}
+    assert by_log(log.with_depth(df, ["key"], stretch).collect(), "seq", "depth") == {k: model_depth(m) for k, m in model.items()}
     assert [r[0] for r in spark.range(3).select(log.indent(F.col("id")).alias("x")).collect()] == ["", "|", "||"]
 
 
