@@ -136,6 +136,12 @@ def lines(messages: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.concat(mark, F.col("_line"))).drop("_line")
 
 
+def rendered(messages: DataFrame, key: list[str]) -> DataFrame:
+    """(key, seq, line_no, to_errors, shown): every line as a console shows it, indented by its depth; errors go to their own stream."""
+    out = lines(with_depth(messages, key))
+    return out.select(*key, "seq", "line_no", (F.col("method") == "Error").alias("to_errors"), F.concat(indent(F.col("depth")), F.col("line")).alias("shown"))
+
+
 def group_title(value: Column) -> Column:
     """A group's text: its first line."""
     return first_line(value)

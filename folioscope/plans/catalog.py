@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import query_words
 from ..functions.text import host
 from ..operators import archive, directory, log, search, suggest
 from ..session import scratch_dir, table
@@ -129,6 +130,12 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.token_counts(_entries(spark, sf_dir))
 
 
+@_register("SELECT 'sites' AS kind, 'example.org' AS value UNION ALL SELECT 'required', 'must' UNION ALL SELECT 'terms', 'may' UNION ALL SELECT 'terms', 'other:thing'")
+def query_words_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query_words.register(spark)
+    return spark.sql("SELECT kind, value FROM query_words('site:Example.org may +Must other:thing may')")
+
+
 @_register(f"WITH {_RANKED} SELECT entry_id, full_path, title FROM r WHERE entry_id >= 1 AND kind <> 'redirect'")
 def entry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.listing(_ranked(spark, sf_dir)).select("entry_id", "full_path", "title")
@@ -253,9 +260,12 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.col("event_id").alias("seq"), method.alias("method"), log.message(value).alias("value"))
 
 
-@_register(f"""WITH {_LOG}, s AS (SELECT *, sum(CASE method WHEN 'Group' THEN 1 WHEN 'GroupEnd' THEN -1 ELSE 0 END) OVER w AS s FROM m WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
-a AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY seq)) AS after FROM s)
-SELECT user_id, seq, CAST(after - (CASE WHEN method = 'Group' THEN 1 ELSE 0 END) AS BIGINT) AS depth FROM a""")
+_DEPTH = f"""{_LOG}, s AS (SELECT *, sum(CASE method WHEN 'Group' THEN 1 WHEN 'GroupEnd' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq) AS s FROM m),
+a AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY seq)) AS after FROM s),
+d AS (SELECT *, CAST(after - (CASE WHEN method = 'Group' THEN 1 ELSE 0 END) AS BIGINT) AS depth FROM a)"""
+
+
+@_register(f"WITH {_DEPTH} SELECT user_id, seq, depth FROM d")
 def log_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.with_depth(_messages(spark, sf_dir), _KEY).select("user_id", "seq", "depth")
 
@@ -310,6 +320,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.lines(_messages(spark, sf_dir)).select("user_id", "seq", "line_no", "line")
 
 
+@_register(f"""WITH {_DEPTH}, l AS (SELECT *, string_split(value, chr(10)) AS parts FROM d), i AS (SELECT *, unnest(range(len(parts))) AS i FROM l)
+SELECT user_id, seq, CAST(i AS INTEGER) AS line_no, method = 'Error' AS to_errors, repeat('|', depth) || (CASE WHEN parts[i + 1][1] IN ('>', '-') THEN '-' ELSE ' ' END) || parts[i + 1] AS shown FROM i""")
+def log_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.rendered(_messages(spark, sf_dir), _KEY)
+
+
 @_register(f"WITH {_LOG} SELECT user_id, count(*) AS length, bool_or(method = 'Error') AS has_errors FROM m GROUP BY user_id")
 def log_has_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.summary(_messages(spark, sf_dir), _KEY)
