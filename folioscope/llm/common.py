@@ -21,6 +21,8 @@ from folioscope.session import ship, table
 __all__ = ["arrow_type", "components", "drop_at_exit", "global_rank", "materialize", "new_path", "to_batch", "ship", "shuffle_partitions", "table"]
 
 _LOCAL: dict[str, str] = {}
+#: A list of small rows is broadcast up to this length, and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,12 +91,13 @@ def global_rank(df: DataFrame, order: list[str], within: str | None = None, name
     group = ([within] if within else []) + ["_pid"]
     parts = staged.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_local").alias("_first"))
     w = (Window.partitionBy(within) if within else Window.partitionBy()).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = materialize(parts, "parts")
     offsets = parts.select(*group, (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift"))
     right = offsets.select(*[F.col(c).alias(f"r_{c}") for c in group], "_shift")
     on = F.lit(True)
     for c in group:
         on = on & (F.col(c).eqNullSafe(F.col(f"r_{c}")) if c == within else F.col(c) == F.col(f"r_{c}"))
-    if not within:  # one row per partition
+    if parts.count() <= BROADCAST_ROWS:  # one row per partition, and per value of ``within`` in it
         right = F.broadcast(right)
     return staged.join(right, on).withColumn(name, F.col("_local") + F.col("_shift")).drop("_pid", "_local", "_shift", *[f"r_{c}" for c in group])
 
