@@ -298,8 +298,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; the model learns from those of them that have labels."""
-    model = train(docs, labels)
-    return scored(docs, model, name="_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, train(docs, labels), name=name).where(F.col(name) < threshold).drop(name)
 
 
 def op5_toxicity_grammar(spark, sf_dir: str) -> DataFrame:
