@@ -169,7 +169,7 @@ def beside_next(docs: DataFrame, key: str, text: str, parts: int | None = None)
     copy = F.struct(F.element_at(before_of, at).alias("part"), F.lit(True).alias("extra"))
     to = F.when(F.col("_k") == F.element_at(first_of, at), F.array(own, copy)).otherwise(F.array(own))
     spread = placed.withColumn("_h", F.xxhash64(text)).select("*", F.explode(to).alias("_to")).select("_to.part", "_to.extra", "_k", "_h", key, text)
-    return spread.repartition(parts, "part").sortWithinPartitions("part", "extra", "_k", "_h").select("part", "extra", key, text)
+    return spread.repartitionById(parts, "part").sortWithinPartitions("part", "extra", "_k", "_h").select("part", "extra", key, text)
 
 
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
