@@ -10,7 +10,7 @@ only a spanning forest of the links it finds, which keeps every component whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -29,17 +29,22 @@ _BLANKS = bytes([*range(9, 14), 32])
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Bit b is set if over half of the shingles' XXH64 (seed 42) have it; 0 without words; a short text is one shingle."""
+    h = shingle_hashes(text, words)
+    return int(np.packbits(_bit_counts(h) * 2 > len(h), bitorder="little").view(np.uint64)[0]) if len(h) else 0
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle in turn."""
     parts = (text or "").encode().translate(_LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     n = max(1, len(parts) - words + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[words - 1 :].tolist() if len(parts) >= words else [len(line)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, stops)], np.uint64, n)
-    return int(np.packbits(_bit_counts(h) * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, stops)], np.uint64, n)
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -235,7 +240,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     names = [key, *(carry or [])]
     marked = common.materialize(fingerprints(docs, key, text, carry), "fingerprints")
     distinct = common.materialize(marked.groupBy("f").agg(F.min(key).alias("least")), "distinct")
-    roots = common.components(links(distinct, distance))
+    return grouped(marked, distinct, links(distinct, distance), names)
+
+
+def grouped(marked: DataFrame, distinct: DataFrame, linked: DataFrame, names: list[str]) -> DataFrame:
+    """(*names, f, root, component_id) from rows (*names, f), the least key of each f, and links between the f."""
+    roots = common.components(linked)
     joined = distinct.join(roots, distinct["f"] == roots["node"], "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     joined = common.materialize(joined, "roots")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -243,13 +253,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     return marked.join(named, marked["f"] == named["_f"]).select(*names, "f", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: that of the least key, ties by a hash of the text; of rows equal in both, any one."""
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with one row of each component of ``find``: that of the least key, ties by a hash of the text; of rows equal in both, any one."""
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     k, t = (f"c{names.index(c)}" for c in (key, text))
     marked = plain.withColumn("th", F.xxhash64(F.coalesce(F.col(t), F.lit(""))).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.col(k).isNull().cast("long")))
-    found = near_duplicates(marked, k, t, distance, ["th"]).groupBy("root", k, "th").agg(F.count("*").alias("n"))
+    found = find(marked, k, t, carry=["th"]).groupBy("root", k, "th").agg(F.count("*").alias("n"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col(k).isNull().alias("null"), k, "th", "n")).alias("m"))
     zero = F.lit("0").cast(plain.schema[k].dataType)
     kept = first.select(F.coalesce(F.col(f"m.{k}"), zero).alias("_k"), F.col("m.th").alias("_th"), (F.col("m.n") > 1).alias("again")).hint("shuffle_hash")
