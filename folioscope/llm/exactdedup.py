@@ -5,6 +5,9 @@ Equal strings have their anchors at the same place in them, so strings can only
 first pass lists anchors (about one in 137 bytes) with the range of starts that they serve; pieces that occur once are
 done with. For the others the bytes around the anchor are brought together by piece and sorted (``suffixes``), and
 each start whose string occurs again marks its bytes for removal.
+
+Passages of a number of words can be marked too, however few bytes they have: windows of words have anchors among their
+``WORD_GRAM``-word pieces and go the same way, but are compared by hashes of their words. Blanks between words don't matter.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from .sketch import _mix
 from .suffixes import repeated_starts
 
 LENGTH, GRAM = 400, 128
+WORD_GRAM = 16
 #: Groups of more anchors than this are counted by the digests of their strings, without bringing them together.
 HOT = 150_000
 #: Bytes hashed at a time, and contexts sorted at a time.
@@ -29,6 +33,7 @@ SEGMENT, ITEMS = 1 << 20, 16_384
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = _mix(np.arange(1, 257, dtype=np.uint64))
 _POWERS: list[np.ndarray] = []
+_BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,23 +60,81 @@ def anchors(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.n
     pieces = n - gram + 1
     h = _mix((sums[gram:] - sums[:pieces]) * down[:pieces])
     bits = np.uint64(max(1, n.bit_length()))
-    v = (h >> bits << bits) | np.arange(pieces, dtype=np.uint64)
-    window = length - gram + 1
-    padded = np.full(-(-pieces // window) * window, np.uint64(2**64 - 1))
-    padded[:pieces] = v
-    blocks = padded.reshape(-1, window)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = n - length + 1
-    least = (np.minimum(right[:starts], left[window - 1 : window - 1 + starts]) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    least = _least(h, length - gram + 1, bits)
     own = np.searchsorted(ends, np.arange(starts), side="right")
     ok = np.arange(starts) + length <= ends[np.minimum(own, len(ends) - 1)]
     least[~ok] = -1
+    cut, last = _runs(least)
+    return h[least[cut]].view(np.int64), least[cut], cut, last
+
+
+def _least(h: np.ndarray, window: int, bits: np.uint64) -> np.ndarray:
+    """For each window of hashes, the place of the least by all but the lowest ``bits`` bits, ties to the left."""
+    v = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    padded = np.full(-(-len(h) // window) * window, np.uint64(2**64 - 1))
+    padded[: len(h)] = v
+    blocks = padded.reshape(-1, window)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    starts = len(h) - window + 1
+    return (np.minimum(right[:starts], left[window - 1 : window - 1 + starts]) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+
+
+def _runs(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of each run of equal places that aren't -1."""
     cut = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    last = np.append(cut[1:], starts) - 1
+    last = np.append(cut[1:], len(least)) - 1
     keep = least[cut] >= 0
-    cut, last = cut[keep], last[keep]
-    return h[least[cut]].view(np.int64), least[cut], cut, last
+    return cut[keep], last[keep]
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word between blanks."""
+    solid = ~_BLANK[np.frombuffer(data, np.uint8)]
+    edge = np.diff(np.pad(solid, 1).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word, by stretches of words of about ``SEGMENT`` bytes."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SEGMENT)))
+        part = np.frombuffer(data, np.uint8, int(end[j - 1] - start[i]), int(start[i]))
+        up, down = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_TABLE[part] * up[: len(part)], out=sums[1:])
+        a, b = start[i:j] - start[i], end[i:j] - start[i]
+        out[i:j] = _mix((sums[b] - sums[a]) * down[a])
+        i = j
+    return out
+
+
+def _rolled(h: np.ndarray, words: int) -> np.ndarray:
+    """64 bits of each window of so many words, wherever it stands."""
+    if len(h) < words:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=sums[1:])
+    n = len(h) - words + 1
+    return _mix((sums[words:] - sums[:n]) * down[:n])
+
+
+def word_anchors(data: bytes, ends: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """(hash, start, end) for texts parted by blanks: the anchor serves the windows of ``words`` words that lie from start to end."""
+    start, end = word_bounds(data)
+    if len(start) < words:
+        return (np.zeros(0, np.int64),) * 3
+    gram = min(WORD_GRAM, words)
+    h = _rolled(word_hashes(data, start, end), gram)
+    least = _least(h, words - gram + 1, np.uint64(len(h).bit_length()))
+    own = np.searchsorted(ends, start, side="right")
+    least[own[: len(least)] != own[words - 1 :]] = -1
+    cut, last = _runs(least)
+    return h[least[cut]].view(np.int64), start[cut], end[last + words - 1]
 
 
 ANCHORS = "id {0}, th long, g long, a long, first long, last long"
@@ -89,7 +152,22 @@ def _keyed(docs: DataFrame, key: str, text: str, carry: list[Column]) -> DataFra
     return docs.select(F.coalesce(k, F.lit("0").cast(docs.schema[key].dataType)).alias("id"), th.alias("th"), t.alias("text"), *carry)
 
 
-def _list_anchors(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
+def _word_pieces(t: bytes, words: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes): a text in pieces of whole words that overlap by words - 1."""
+    if len(t) <= SEGMENT:
+        yield 0, t
+        return
+    start, end = word_bounds(t)
+    i = 0
+    while i + words <= len(start):
+        j = max(i + words, int(np.searchsorted(end, start[i] + SEGMENT)))
+        j = min(j, len(start))
+        yield int(start[i]), t[start[i] : end[j - 1]]
+        i = j - words + 1
+
+
+def _list_anchors(keyed: DataFrame, kind: str, length: int, gram: int, words: int) -> DataFrame:
+    """Anchors of strings, and (if ``words``) of windows of words: these have a = -1, and first and last are the windows' first and end byte."""
     ddl = ANCHORS.format(kind)
     schema = common.arrow_type(ddl)
 
@@ -101,32 +179,51 @@ def _list_anchors(keyed: DataFrame, kind: str, length: int, gram: int) -> DataFr
                     t = t.encode()
                     for at in range(0, max(1, len(t) - length + 1), SEGMENT):
                         if len(t) - at >= length:
-                            yield i, th, at, t[at : at + SEGMENT + length - 1]
-
-    def answer(held: list[tuple]) -> pa.RecordBatch:
-        ends = np.cumsum([len(x[3]) for x in held])
-        g, a, first, last = anchors(b"".join(x[3] for x in held), ends, length, gram)
+                            yield i, th, at, t[at : at + SEGMENT + length - 1], False
+                    if words:
+                        for at, piece in _word_pieces(t, words):
+                            yield i, th, at, piece, True
+
+    def answer(held: list[tuple], of_words: bool) -> pa.RecordBatch:
+        ends = np.cumsum([len(x[3]) + of_words for x in held])
+        if of_words:
+            g, first, last = word_anchors(b"\n".join(x[3] for x in held), ends, words)
+        else:
+            g, a, first, last = anchors(b"".join(x[3] for x in held), ends, length, gram)
         of = np.searchsorted(ends, first, side="right")
         shift = (np.array([x[2] for x in held]) - np.append(0, ends[:-1]))[of]
+        if of_words:
+            a = -1 - shift
         ids = pa.array([x[0] for x in held], schema.field(0).type).take(pa.array(of))
         return pa.RecordBatch.from_arrays([ids, pa.array(np.array([x[1] for x in held], np.int64)[of]), pa.array(g), pa.array(a + shift), pa.array(first + shift), pa.array(last + shift)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for x in pieces(batches):
-            held.append(x)
-            size += len(x[3])
-            if size >= SEGMENT:
-                yield answer(held)
-                held, size = [], 0
-        if held:
-            yield answer(held)
+        held, size = ([], []), [0, 0]
+        for *x, of_words in pieces(batches):
+            held[of_words].append(x)
+            size[of_words] += len(x[3])
+            if size[of_words] >= SEGMENT:
+                yield answer(held[of_words], of_words)
+                held[of_words].clear()
+                size[of_words] = 0
+        for of_words in (False, True):
+            if held[of_words]:
+                yield answer(held[of_words], of_words)
 
     return keyed.mapInArrow(run, ddl)
 
 
-def _cut_contexts(joined: DataFrame, kind: str, length: int) -> DataFrame:
-    """The bytes around each listed anchor, once per text where they repeat in it."""
+def _windows(t: bytes, listed: list, words: int) -> Iterator[tuple]:
+    """(g, first, hashes, starts, ends) of each listed word anchor: the windows that it serves, by their bytes from first on."""
+    start, end = word_bounds(t)
+    h = _rolled(word_hashes(t, start, end), words)
+    for x in listed:
+        lo, hi = np.searchsorted(start, x["first"]), np.searchsorted(end, x["last"]) - words + 2
+        yield x["g"], x["first"], h[lo:hi], start[lo:hi] - x["first"], end[lo + words - 1 : hi + words - 1] - x["first"]
+
+
+def _cut_contexts(joined: DataFrame, kind: str, length: int, words: int) -> DataFrame:
+    """The bytes around each listed anchor, once per text where they repeat in it; for word anchors (anchor -1) hashes and bounds of ``low`` windows."""
     ddl = f"g long, id {kind}, th long, anchor int, low int, at array<long>, context binary"
     schema = common.arrow_type(ddl)
 
@@ -139,10 +236,17 @@ def _cut_contexts(joined: DataFrame, kind: str, length: int) -> DataFrame:
                     found: dict[tuple, list[int]] = {}
                     for x in listed:
                         a, first, last = x["a"], x["first"], x["last"]
+                        if a < 0:
+                            continue
                         found.setdefault((x["g"], a - first, a - last, t[first : last + length]), []).append(a)
                     for (g, anchor, low, context), at in found.items():
                         for name, v in zip(schema.names, (g, i, th, anchor, low, sorted(set(at)), context)):
                             out[name].append(v)
+                    of_words = [x for x in listed if x["a"] < 0]
+                    for g, first, h, s, e in _windows(t, of_words, words) if of_words else ():
+                        context = h.tobytes() + s.astype(np.int32).tobytes() + e.astype(np.int32).tobytes()
+                        for name, v in zip(schema.names, (g, i, th, -1, len(h), [first], context)):
+                            out[name].append(v)
                 yield common.to_batch(out, schema)
 
     return joined.mapInArrow(run, ddl)
@@ -153,6 +257,27 @@ def _mark(contexts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
     ddl = SPANS.format(kind)
     schema = common.arrow_type(ddl)
 
+    def answer_words(rows: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([r[4] for r in rows])
+        h, s, e = (np.concatenate([np.frombuffer(r[6], kind, r[4], r[4] * at) for r in rows]) for kind, at in ((np.uint64, 0), (np.int32, 8), (np.int32, 12)))
+        row = np.repeat(np.arange(len(rows)), sizes)
+        _, of, n = np.unique(h ^ _mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))[row], return_inverse=True, return_counts=True)
+        again = n[of] > 1
+        fresh = np.append(True, row[1:] != row[:-1])
+        begin = np.flatnonzero(again & (fresh | ~np.append(False, again[:-1])))
+        stop = np.flatnonzero(again & (np.append(fresh[1:], True) | ~np.append(again[1:], False)))
+        out: dict[str, list] = {n: [] for n in schema.names}
+        for k, x1, x2 in zip(row[begin].tolist(), s[begin].tolist(), e[stop].tolist()):
+            _, i, th, _, _, (first,), _ = rows[k]
+            for name, v in zip(schema.names, (i, th, first + x1, first + x2)):
+                out[name].append(v)
+        return common.to_batch(out, schema)
+
+    def answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for part, f in (([r for r in rows if r[3] >= 0], answer), ([r for r in rows if r[3] < 0], answer_words)):
+            if part:
+                yield f(part)
+
     def answer(rows: list[tuple]) -> pa.RecordBatch:
         pieces: dict[tuple, int] = {}
         distinct: dict[tuple, int] = {}
@@ -196,18 +321,18 @@ def _mark(contexts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
             for lo in range(0, b.num_rows, 1024):
                 for row in zip(*(c.to_pylist() for c in b.slice(lo, 1024).columns)):
                     if len(held) >= ITEMS and row[0] != held[-1][0]:
-                        yield answer(held)
+                        yield from answers(held)
                         held = []
                     held.append(row)
         if held:
-            yield answer(held)
+            yield from answers(held)
 
     return contexts.mapInArrow(run, ddl)
 
 
-def _mark_hot(joined: DataFrame, kind: str, length: int) -> DataFrame:
-    """The same for pieces of very many anchors: equal strings are counted by a 128-bit digest, combined before the shuffle."""
-    ddl = f"h1 long, h2 long, id {kind}, th long, start long"
+def _mark_hot(joined: DataFrame, kind: str, length: int, words: int) -> DataFrame:
+    """The same for pieces of very many anchors: equal strings are counted by a 128-bit digest, combined before the shuffle; windows of words by the hashes of window and piece."""
+    ddl = f"h1 long, h2 long, id {kind}, th long, start long, end long"
     schema = common.arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,26 +340,32 @@ def _mark_hot(joined: DataFrame, kind: str, length: int) -> DataFrame:
             for lo in range(0, b.num_rows, 16):
                 for i, th, text, listed in zip(*(c.to_pylist() for c in b.slice(lo, 16).columns[:4])):
                     t = text.encode()
-                    at = sorted({s for x in listed for s in range(x["first"], x["last"] + 1)})
-                    raw = np.frombuffer(b"".join(hashlib.blake2b(t[s : s + length], digest_size=16).digest() for s in at), "<i8").reshape(-1, 2)
-                    ids = pa.array([i] * len(at), schema.field(2).type)
-                    yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy()), ids, pa.array([th] * len(at), pa.int64()), pa.array(at, pa.int64())], schema=schema)
+                    at = np.array(sorted({s for x in listed if x["a"] >= 0 for s in range(x["first"], x["last"] + 1)}), np.int64)
+                    raw = np.frombuffer(b"".join(hashlib.blake2b(t[s : s + length], digest_size=16).digest() for s in at.tolist()), "<i8").reshape(-1, 2)
+                    found = [(raw[:, 0].copy(), raw[:, 1].copy(), at, at + length)]
+                    of_words = [x for x in listed if x["a"] < 0]
+                    for g, first, h, s, e in _windows(t, of_words, words) if of_words else ():
+                        found.append((h.view(np.int64), np.full(len(h), g), s + first, e + first))
+                    for h1, h2, s, e in found:
+                        ids = pa.array([i] * len(s), schema.field(2).type)
+                        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids, pa.array([th] * len(s), pa.int64()), pa.array(s), pa.array(e)], schema=schema)
 
     starts = common.materialize(joined.mapInArrow(run, ddl), "starts")
     again = starts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return starts.join(again, ["h1", "h2"]).select("id", "th", "start", (F.col("start") + length).alias("end"))
+    return starts.join(again, ["h1", "h2"]).select("id", "th", "start", "end")
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[Column] | None = None, words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(keyed texts, listed spans): (id, th, text, *carry) and (id, th, spans), spans an array of (start, end) in bytes, not merged.
 
     Rows that repeat (equal key and text) each count as a document; their whole texts of ``length`` bytes or more repeat.
+    With ``words``, windows of so many words that occur again are covered too.
     """
     spark = docs.sparkSession
     common.ship(spark)
     kind = docs.schema[key].dataType.simpleString()
     keyed = _keyed(docs, key, text, carry or [])
-    listed = common.materialize(_list_anchors(keyed.select("id", "th", "text"), kind, length, gram), "anchors", "snappy")
+    listed = common.materialize(_list_anchors(keyed.select("id", "th", "text"), kind, length, gram, words), "anchors", "snappy")
     often = listed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     # texts cross the network once: both joins below start from this exchange
     spread = keyed.repartition(common.shuffle_partitions(spark), "id", "th")
@@ -245,17 +376,17 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
         on = (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))
         return spread.join(one.hint("shuffle_hash"), on).select("id", "th", "text", "listed", *keyed.columns[3:])
 
-    few = _cut_contexts(beside(chosen.where(F.col("n") <= hot)), kind, length)
+    few = _cut_contexts(beside(chosen.where(F.col("n") <= hot)), kind, length, words)
     contexts = few.repartition(common.shuffle_partitions(spark), "g").sortWithinPartitions("g")
     spans = _mark(contexts.select("g", "id", "th", "anchor", "low", "at", "context"), kind, length, gram)
     if often.where(F.col("n") > hot).limit(1).count():
-        spans = spans.union(_mark_hot(beside(chosen.where(F.col("n") > hot)), kind, length))
+        spans = spans.union(_mark_hot(beside(chosen.where(F.col("n") > hot)), kind, length, words))
     return spread, spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def with_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[Column] | None = None) -> DataFrame:
+def with_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[Column] | None = None, words: int = 0) -> DataFrame:
     """(id, th, text, spans, *carry), a row per input row; spans is null where nothing repeats."""
-    spread, spans = repeated_spans(docs, key, text, length, gram, hot, carry)
+    spread, spans = repeated_spans(docs, key, text, length, gram, hot, carry, words)
     right = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans").hint("shuffle_hash")
     on = (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))
     whole = spread.join(right, on, "left")
@@ -282,13 +413,13 @@ def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def remove(docs: DataFrame, key: str, text: str, length: int = LENGTH, chars: str | None = None) -> DataFrame:
-    """``docs`` with the covered bytes taken out of ``text``, and ``chars`` (if given) counted anew.
+def remove(docs: DataFrame, key: str, text: str, length: int = LENGTH, chars: str | None = None, words: int = 0) -> DataFrame:
+    """``docs`` with the covered bytes taken out of ``text`` (with ``words``, those of windows of so many words too), and ``chars`` (if given) counted anew.
 
     A character that loses some of its bytes goes whole. Null texts stay null; a text of which nothing remains is empty.
     """
     names = docs.columns
-    whole = with_spans(docs, key, text, length, carry=[F.col(f"`{c}`").alias(f"c{i}") if c != text else F.col(f"`{c}`").isNull().alias(f"c{i}") for i, c in enumerate(names)])
+    whole = with_spans(docs, key, text, length, carry=[F.col(f"`{c}`").alias(f"c{i}") if c != text else F.col(f"`{c}`").isNull().alias(f"c{i}") for i, c in enumerate(names)], words=words)
     schema = common.arrow_type(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at, count = names.index(text), names.index(chars) if chars else -1
