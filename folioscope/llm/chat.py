@@ -23,7 +23,7 @@ from . import common
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 START, END = "<|im_start|>", "<|im_end|>"
-#: Prefixes are rendered in full up to so many turns; longer conversations go on in windows of this many.
+#: For templates declared context-free, prefixes are rendered in full up to twice so many turns; longer conversations go on in windows of this many.
 WINDOW = 64
 _ESCAPES = {"\\": "\\\\", "|": "\\|", "\n": "\\n"}
 _PLAIN = {"\\": "\\", "|": "|", "n": "\n"}
@@ -72,14 +72,15 @@ class Span:
 
 
 class Incremental:
-    """Feeds turns to a template one by one, keeping at most two windows of turns and their rendering.
+    """Feeds turns to a template one by one, keeping at most two windows of turns and their rendering, or without a window all.
 
-    Beyond ``window`` turns the prefix is replaced by its last turns, which is only right for a template whose
-    output for a turn depends on no turn before those; each replacement checks that both contexts give
-    the same addition for the next turn, and otherwise the template counts as rewriting history.
+    With a window, the prefix is replaced by its last turns beyond twice as many, which is only right for a context-free
+    template, whose output for a turn depends on no turn before those; only each replacement is checked to give
+    the same addition for the next turn in both contexts. Without one, every prefix is rendered whole: that is right for
+    any template, and takes time that grows with the square of a conversation's length.
     """
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    def __init__(self, template: Template, window: int | None = WINDOW):
         self.template, self.window = template, window
         self.context: Turns = []
         self.out, self.length = template([]), 0
@@ -95,7 +96,7 @@ class Incremental:
     def feed(self, turn: tuple[str, str]) -> tuple[str, Span]:
         """The text that the turn adds, and its span in the whole output."""
         added = self._added(self.context, self.out, turn)
-        if len(self.context) >= 2 * self.window:
+        if self.window and len(self.context) >= 2 * self.window:
             context = self.context[-self.window :]
             out = self.template(context)
             if self._added(context, out, turn) != added:
@@ -111,9 +112,9 @@ class Incremental:
         return added, Span(start, self.length, start + head, self.length - tail)
 
 
-def format_turns(turns: Iterable[tuple[str, str]], template: Template = marked_turns) -> tuple[str, list[Span]]:
-    """The output for one conversation and the span of each turn."""
-    state, parts, spans = Incremental(template), [], []
+def format_turns(turns: Iterable[tuple[str, str]], template: Template = marked_turns, context_free: bool = True) -> tuple[str, list[Span]]:
+    """The output for one conversation and the span of each turn. The template is taken as context-free unless said otherwise."""
+    state, parts, spans = Incremental(template, WINDOW if context_free else None), [], []
     for t in turns:
         added, span = state.feed(t)
         parts.append(added)
@@ -124,13 +125,15 @@ def format_turns(turns: Iterable[tuple[str, str]], template: Template = marked_t
 FORMATTED = "conv_id long, turn_index long, role string, formatted string, start long, text_start long, text_end long, end long, loss boolean"
 
 
-def format_conversations(rows: DataFrame, template: Template = marked_turns, loss_role: str = "assistant") -> DataFrame:
+def format_conversations(rows: DataFrame, template: Template = marked_turns, loss_role: str = "assistant", context_free: bool | None = None) -> DataFrame:
     """One row per turn, in order within each conversation: what it adds to the output, its span, and whether it bears loss.
 
     Input: conv_id, turn, role, text. Null roles and texts are empty. Rows go by turn (nulls first), ties by role and
     text, so rows that repeat are turns of their own; rows of null conv_id are one conversation. Conversations
-    are streamed turn by turn, however long they are; a partition holds whole conversations, in order.
+    are streamed turn by turn, however long they are; a partition holds whole conversations, in order. Only templates
+    declared ``context_free``, as ``marked_turns`` is, are rendered in windows; others get every prefix whole.
     """
+    window = WINDOW if (template is marked_turns if context_free is None else context_free) else None
     schema = common.arrow_type(FORMATTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +143,7 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, los
                 out: dict[str, list] = {x: [] for x in schema.names}
                 for c, role, text in zip(*(x.to_pylist() for x in b.slice(lo, 512).columns)):
                     if c != conv:
-                        conv, state, i = c, Incremental(template), 0
+                        conv, state, i = c, Incremental(template, window), 0
                     added, s = state.feed((role, text))
                     shown = (state.preamble if i == 0 else "") + added
                     for x, v in zip(schema.names, (c, i, role, shown, s.start, s.text_start, s.text_end, s.end, role == loss_role)):

@@ -70,3 +70,18 @@ def test_conversations(spark):
         assert (g.n_turns, g.turns_sha256) == (len(turns), digest("".join(f"{r}\n{t}\n" for _, r, t in turns)))
         assert (g.loss_chars, g.loss_sha256, g.formatted_chars) == (len(loss), digest(loss), len(chat.marked_turns([x[1:] for x in turns])))
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_templates_not_declared_context_free_get_whole_prefixes(spark):
+    turns = [("tool" if i == 190 else "user", f"turn {i}") for i in range(300)]
+    quoting = lambda t: "".join(f"{t[0][1] if r == 'tool' else ''}{x}\n" for r, x in t)
+    numbered = lambda t: "".join(f"{i} {x}\n" for i, (_, x) in enumerate(t))
+    truncating = lambda t: chat.marked_turns(t[-200:])
+    df = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for template in (quoting, numbered):
+        assert chat.format_turns(turns, template, context_free=False)[0] == template(turns)
+        assert "".join(r.formatted for r in chat.format_conversations(df, template).orderBy("turn_index").collect()) == template(turns)
+    with pytest.raises(chat.RewritesHistory):
+        chat.format_turns(turns, truncating, context_free=False)
+    with pytest.raises(Exception, match="RewritesHistory"):
+        chat.format_conversations(df, truncating).collect()
