@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ship, table
 
-__all__ = ["arrow_type", "components", "drop_at_exit", "global_rank", "materialize", "new_path", "to_batch", "ship", "shuffle_partitions", "table"]
+__all__ = ["arrow_type", "components", "discard", "drop_at_exit", "free_name", "global_rank", "make", "materialize", "new_path", "to_batch", "ship", "shuffle_partitions", "stage", "table"]
 
 _LOCAL: dict[str, str] = {}
 #: A list of small rows is broadcast up to this length, and joined by shuffle beyond.
@@ -45,25 +45,63 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def make(spark: SparkSession, path: str) -> None:
+    """Makes a folder, if it isn't there, that is deleted when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    drop_at_exit(spark, path)
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Has a folder that exists now deleted when the application ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here, and later passes see the same rows."""
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Spark's setting by which a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """Writes ``df`` to the shared folder and reads it back; returns its place too.
+
+    Lineage ends here, and later passes see the same rows. What was shuffled for it is of no more use and goes at once.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """The staged table of ``stage`` alone."""
+    return stage(df, name, compression)[0]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no taken name (in any case) is the same."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
     """Null-safe equality over ``cols``."""
     on = F.lit(True)

@@ -6,8 +6,9 @@ first pass lists anchors (about one in 137 bytes) with the range of starts that
 done with. For the others the bytes around the anchor are brought together by piece and sorted (``suffixes``), and
 each start whose string occurs again marks its bytes for removal.
 
-Passages of a number of words can be marked too, however few bytes they have: windows of words have anchors among their
-``WORD_GRAM``-word pieces and go the same way, but are compared by hashes of their words. Blanks between words don't matter.
+Passages of a number of words that stand in several documents can be marked too, however few bytes they have: windows of words
+have anchors among their ``WORD_GRAM``-word pieces and go the same way, but are compared by hashes of their words. Blanks
+between words don't matter, and a window counts only if it stands in another row as well.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,15 @@ from .sketch import _mix
 from .suffixes import repeated_starts
 
 LENGTH, GRAM = 400, 128
-WORD_GRAM = 16
+#: Passages of over 50 words are told by windows of so many, and their anchors by so many words of a window.
+PASSAGE, WORD_GRAM = 51, 8
 #: Groups of more anchors than this are counted by the digests of their strings, without bringing them together.
 HOT = 150_000
 #: Bytes hashed at a time, and contexts sorted at a time.
 SEGMENT, ITEMS = 1 << 20, 16_384
+#: Low bits of a hash that give way to its place when the least is chosen: a batch of texts is shorter than 2**TIES. They are as
+#: many for every batch, so that equal strings have their anchors at the same place wherever they are hashed.
+TIES = 23
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = _mix(np.arange(1, 257, dtype=np.uint64))
 _POWERS: list[np.ndarray] = []
@@ -59,9 +65,8 @@ def anchors(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.n
     np.cumsum(_TABLE[np.frombuffer(data, np.uint8)] * up[:n], out=sums[1:])
     pieces = n - gram + 1
     h = _mix((sums[gram:] - sums[:pieces]) * down[:pieces])
-    bits = np.uint64(max(1, n.bit_length()))
     starts = n - length + 1
-    least = _least(h, length - gram + 1, bits)
+    least = _least(h, length - gram + 1)
     own = np.searchsorted(ends, np.arange(starts), side="right")
     ok = np.arange(starts) + length <= ends[np.minimum(own, len(ends) - 1)]
     least[~ok] = -1
@@ -69,8 +74,11 @@ def anchors(data: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np.n
     return h[least[cut]].view(np.int64), least[cut], cut, last
 
 
-def _least(h: np.ndarray, window: int, bits: np.uint64) -> np.ndarray:
-    """For each window of hashes, the place of the least by all but the lowest ``bits`` bits, ties to the left."""
+def _least(h: np.ndarray, window: int) -> np.ndarray:
+    """For each window of hashes, the place of the least by all but the lowest ``TIES`` bits, ties to the left."""
+    if len(h) >> TIES:
+        raise ValueError("too many hashes at once")
+    bits = np.uint64(TIES)
     v = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(h) // window) * window, np.uint64(2**64 - 1))
     padded[: len(h)] = v
@@ -130,7 +138,7 @@ def word_anchors(data: bytes, ends: np.ndarray, words: int) -> tuple[np.ndarray,
         return (np.zeros(0, np.int64),) * 3
     gram = min(WORD_GRAM, words)
     h = _rolled(word_hashes(data, start, end), gram)
-    least = _least(h, words - gram + 1, np.uint64(len(h).bit_length()))
+    least = _least(h, words - gram + 1)
     own = np.searchsorted(ends, start, side="right")
     least[own[: len(least)] != own[words - 1 :]] = -1
     cut, last = _runs(least)
@@ -138,7 +146,7 @@ def word_anchors(data: bytes, ends: np.ndarray, words: int) -> tuple[np.ndarray,
 
 
 ANCHORS = "id {0}, th long, g long, a long, first long, last long"
-SPANS = "id {0}, th long, start long, end long"
+SPANS = "id {0}, th long, start long, end long, words boolean"
 
 
 def _keyed(docs: DataFrame, key: str, text: str, carry: list[Column]) -> DataFrame:
@@ -213,68 +221,81 @@ def _list_anchors(keyed: DataFrame, kind: str, length: int, gram: int, words: in
     return keyed.mapInArrow(run, ddl)
 
 
-def _windows(t: bytes, listed: list, words: int) -> Iterator[tuple]:
-    """(g, first, hashes, starts, ends) of each listed word anchor: the windows that it serves, by their bytes from first on."""
-    start, end = word_bounds(t)
-    h = _rolled(word_hashes(t, start, end), words)
-    for x in listed:
-        lo, hi = np.searchsorted(start, x["first"]), np.searchsorted(end, x["last"]) - words + 2
-        yield x["g"], x["first"], h[lo:hi], start[lo:hi] - x["first"], end[lo + words - 1 : hi + words - 1] - x["first"]
+def _windows(texts: list[bytes], listed: list[list], words: int) -> Iterator[tuple]:
+    """(text, g, word, hashes) of each listed word anchor: the windows that it serves, the first from the text's word of that number on."""
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    start, end = word_bounds(b"\n".join(texts))
+    h = _rolled(word_hashes(b"\n".join(texts), start, end), words)
+    first = np.searchsorted(start, ends)
+    for i, anchors in enumerate(listed):
+        for x in anchors:
+            lo, hi = np.searchsorted(start, ends[i] + x["first"]), np.searchsorted(end, ends[i] + x["last"]) - words + 2
+            yield i, x["g"], int(lo - first[i]), h[lo:hi]
 
 
 def _cut_contexts(joined: DataFrame, kind: str, length: int, words: int) -> DataFrame:
-    """The bytes around each listed anchor, once per text where they repeat in it; for word anchors (anchor -1) hashes and bounds of ``low`` windows."""
-    ddl = f"g long, id {kind}, th long, anchor int, low int, at array<long>, context binary"
+    """The bytes around each listed anchor, once per text where they repeat in it; for word anchors (anchor -1) the hashes of windows from word ``at`` on.
+
+    ``row`` tells the input rows apart; it is only compared with others of one partition of pieces.
+    """
+    ddl = f"g long, id {kind}, th long, row long, anchor int, low int, at array<long>, context binary"
     schema = common.arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 out: dict[str, list] = {x: [] for x in schema.names}
-                for i, th, text, listed in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns[:4])):
-                    t = text.encode()
+                rows = list(zip(*(c.to_pylist() for c in b.slice(lo, 64).columns[:4])))
+                texts = [text.encode() for _, _, text, _ in rows]
+                for k, ((i, th, _, listed), t) in enumerate(zip(rows, texts)):
                     found: dict[tuple, list[int]] = {}
                     for x in listed:
                         a, first, last = x["a"], x["first"], x["last"]
-                        if a < 0:
-                            continue
-                        found.setdefault((x["g"], a - first, a - last, t[first : last + length]), []).append(a)
+                        if a >= 0:
+                            found.setdefault((x["g"], a - first, a - last, t[first : last + length]), []).append(a)
                     for (g, anchor, low, context), at in found.items():
-                        for name, v in zip(schema.names, (g, i, th, anchor, low, sorted(set(at)), context)):
+                        for name, v in zip(schema.names, (g, i, th, row + k, anchor, low, sorted(set(at)), context)):
                             out[name].append(v)
-                    of_words = [x for x in listed if x["a"] < 0]
-                    for g, first, h, s, e in _windows(t, of_words, words) if of_words else ():
-                        context = h.tobytes() + s.astype(np.int32).tobytes() + e.astype(np.int32).tobytes()
-                        for name, v in zip(schema.names, (g, i, th, -1, len(h), [first], context)):
+                if words:
+                    of_words = [[x for x in listed if x["a"] < 0] for _, _, _, listed in rows]
+                    for k, g, at, h in _windows(texts, of_words, words) if any(of_words) else ():
+                        for name, v in zip(schema.names, (g, *rows[k][:2], row + k, -1, 0, [at], h.tobytes())):
                             out[name].append(v)
+                row += len(rows)
                 yield common.to_batch(out, schema)
 
     return joined.mapInArrow(run, ddl)
 
 
-def _mark(contexts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
-    """Spans of bytes whose strings repeat, from contexts that lie together by piece."""
+def _mark(contexts: DataFrame, kind: str, length: int, gram: int, words: int) -> DataFrame:
+    """Spans whose strings (in bytes) or windows (in words) repeat, from contexts that lie together by piece."""
     ddl = SPANS.format(kind)
     schema = common.arrow_type(ddl)
 
     def answer_words(rows: list[tuple]) -> pa.RecordBatch:
-        sizes = np.array([r[4] for r in rows])
-        h, s, e = (np.concatenate([np.frombuffer(r[6], kind, r[4], r[4] * at) for r in rows]) for kind, at in ((np.uint64, 0), (np.int32, 8), (np.int32, 12)))
+        sizes = np.array([len(r[7]) // 8 for r in rows])
+        h = np.frombuffer(b"".join(r[7] for r in rows), np.uint64)
         row = np.repeat(np.arange(len(rows)), sizes)
-        _, of, n = np.unique(h ^ _mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))[row], return_inverse=True, return_counts=True)
-        again = n[of] > 1
+        place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        _, of = np.unique(h ^ _mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))[row], return_inverse=True)
+        doc = np.array([r[3] for r in rows])[row]
+        least, most = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), -1)
+        np.minimum.at(least, of, doc)
+        np.maximum.at(most, of, doc)
+        again = (least < most)[of]  # in more than one row
         fresh = np.append(True, row[1:] != row[:-1])
         begin = np.flatnonzero(again & (fresh | ~np.append(False, again[:-1])))
         stop = np.flatnonzero(again & (np.append(fresh[1:], True) | ~np.append(again[1:], False)))
         out: dict[str, list] = {n: [] for n in schema.names}
-        for k, x1, x2 in zip(row[begin].tolist(), s[begin].tolist(), e[stop].tolist()):
-            _, i, th, _, _, (first,), _ = rows[k]
-            for name, v in zip(schema.names, (i, th, first + x1, first + x2)):
+        for k, x1, x2 in zip(row[begin].tolist(), place[begin].tolist(), place[stop].tolist()):
+            _, i, th, _, _, _, (at,), _ = rows[k]
+            for name, v in zip(schema.names, (i, th, at + x1, at + x2 + words, True)):
                 out[name].append(v)
         return common.to_batch(out, schema)
 
     def answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for part, f in (([r for r in rows if r[3] >= 0], answer), ([r for r in rows if r[3] < 0], answer_words)):
+        for part, f in (([r for r in rows if r[4] >= 0], answer), ([r for r in rows if r[4] < 0], answer_words)):
             if part:
                 yield f(part)
 
@@ -282,7 +303,7 @@ def _mark(contexts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
         pieces: dict[tuple, int] = {}
         distinct: dict[tuple, int] = {}
         members: list[list[tuple]] = []
-        for g, i, th, anchor, low, at, context in rows:
+        for g, i, th, _, anchor, low, at, context in rows:
             piece = pieces.setdefault((g, context[anchor : anchor + gram]), len(pieces))
             item = distinct.setdefault((piece, anchor, low, context), len(members))
             if item == len(members):
@@ -313,6 +334,7 @@ def _mark(contexts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
                     out["th"].append(th)
                     out["start"].append(a - x2)
                     out["end"].append(a - x1 + length)
+                    out["words"].append(False)
         return common.to_batch(out, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,44 +354,50 @@ def _mark(contexts: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
 
 def _mark_hot(joined: DataFrame, kind: str, length: int, words: int) -> DataFrame:
     """The same for pieces of very many anchors: equal strings are counted by a 128-bit digest, combined before the shuffle; windows of words by the hashes of window and piece."""
-    ddl = f"h1 long, h2 long, id {kind}, th long, start long, end long"
+    ddl = f"h1 long, h2 long, id {kind}, th long, row long, start long, end long, words boolean"
     schema = common.arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             for lo in range(0, b.num_rows, 16):
                 for i, th, text, listed in zip(*(c.to_pylist() for c in b.slice(lo, 16).columns[:4])):
+                    row += 1
                     t = text.encode()
                     at = np.array(sorted({s for x in listed if x["a"] >= 0 for s in range(x["first"], x["last"] + 1)}), np.int64)
                     raw = np.frombuffer(b"".join(hashlib.blake2b(t[s : s + length], digest_size=16).digest() for s in at.tolist()), "<i8").reshape(-1, 2)
-                    found = [(raw[:, 0].copy(), raw[:, 1].copy(), at, at + length)]
+                    found = [(raw[:, 0].copy(), raw[:, 1].copy(), at, at + length, False)]
                     of_words = [x for x in listed if x["a"] < 0]
-                    for g, first, h, s, e in _windows(t, of_words, words) if of_words else ():
-                        found.append((h.view(np.int64), np.full(len(h), g), s + first, e + first))
-                    for h1, h2, s, e in found:
-                        ids = pa.array([i] * len(s), schema.field(2).type)
-                        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids, pa.array([th] * len(s), pa.int64()), pa.array(s), pa.array(e)], schema=schema)
+                    for _, g, first, h in _windows([t], [of_words], words) if of_words else ():
+                        s = first + np.arange(len(h))
+                        found.append((h.view(np.int64).copy(), np.full(len(h), g), s, s + words, True))
+                    for h1, h2, s, e, kind_ in found:
+                        n = len(s)
+                        ids = pa.array([i] * n, schema.field(2).type)
+                        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids, *(pa.array([v] * n, pa.int64()) for v in (th, row)), pa.array(s), pa.array(e), pa.array([kind_] * n)], schema=schema)
 
     starts = common.materialize(joined.mapInArrow(run, ddl), "starts")
-    again = starts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return starts.join(again, ["h1", "h2"]).select("id", "th", "start", "end")
+    again = starts.groupBy("h1", "h2", "words").agg(F.count("*").alias("n"), (F.min("row") < F.max("row")).alias("rows")).where("if(words, rows, n > 1)").drop("n", "rows")
+    return starts.join(again, ["h1", "h2", "words"]).select("id", "th", "start", "end", "words")
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[Column] | None = None, words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(keyed texts, listed spans): (id, th, text, *carry) and (id, th, spans), spans an array of (start, end) in bytes, not merged.
+    """(keyed texts, listed spans): (id, th, text, *carry) and (id, th, spans), spans an array of (start, end, words), not merged.
 
     Rows that repeat (equal key and text) each count as a document; their whole texts of ``length`` bytes or more repeat.
-    With ``words``, windows of so many words that occur again are covered too.
+    With ``words``, windows of so many words that stand in another row too are covered by spans marked words, which count
+    words of the text where others count bytes.
     """
     spark = docs.sparkSession
     common.ship(spark)
     kind = docs.schema[key].dataType.simpleString()
     keyed = _keyed(docs, key, text, carry or [])
-    listed = common.materialize(_list_anchors(keyed.select("id", "th", "text"), kind, length, gram, words), "anchors", "snappy")
+    listed, path = common.stage(_list_anchors(keyed.select("id", "th", "text"), kind, length, gram, words), "anchors")
     often = listed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    chosen = common.materialize(listed.join(often, "g"), "repeated-anchors")
+    common.discard(spark, path)
     # texts cross the network once: both joins below start from this exchange
     spread = keyed.repartition(common.shuffle_partitions(spark), "id", "th")
-    chosen = listed.join(often, "g")
 
     def beside(anchors: DataFrame) -> DataFrame:
         one = anchors.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("g", "a", "first", "last", "n")).alias("listed"))
@@ -378,10 +406,10 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
 
     few = _cut_contexts(beside(chosen.where(F.col("n") <= hot)), kind, length, words)
     contexts = few.repartition(common.shuffle_partitions(spark), "g").sortWithinPartitions("g")
-    spans = _mark(contexts.select("g", "id", "th", "anchor", "low", "at", "context"), kind, length, gram)
-    if often.where(F.col("n") > hot).limit(1).count():
+    spans = _mark(contexts.select("g", "id", "th", "row", "anchor", "low", "at", "context"), kind, length, gram, words)
+    if chosen.where(F.col("n") > hot).limit(1).count():
         spans = spans.union(_mark_hot(beside(chosen.where(F.col("n") > hot)), kind, length, words))
-    return spread, spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return spread, spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end", "words")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: list[Column] | None = None, words: int = 0) -> DataFrame:
@@ -393,10 +421,19 @@ def with_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram:
     return whole.select(F.when(F.col("th").bitwiseAND(F.lit(1).cast("long")) == 0, F.col("id")).alias("id"), "th", "text", "spans", *spread.columns[3:])
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
+def located(data: bytes, spans: list[dict] | None) -> list[tuple[int, int, bool]]:
+    """(start, end, words) of each span, in bytes."""
+    found = [(x["start"], x["end"], x["words"]) for x in spans or []]
+    if any(w for _, _, w in found):
+        start, end = word_bounds(data)
+        found = [(int(start[s]), int(end[e - 1]), w) if w else (s, e, w) for s, e, w in found]
+    return found
+
+
+def merged(spans: list[tuple[int, int, bool]], words: bool | None = None) -> list[tuple[int, int]]:
+    """Maximal runs of covered bytes, by all located spans or those of one kind."""
     out: list[list[int]] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans or []):
+    for s, e in sorted((s, e) for s, e, w in spans if words is None or w == words):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -429,7 +466,7 @@ def remove(docs: DataFrame, key: str, text: str, length: int = LENGTH, chars: st
             columns = list(b.columns[2:])
             texts = []
             for t, spans, null in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), columns[at].to_pylist()):
-                texts.append(None if null else kept(t.encode(), merged(spans)).decode("utf-8", "ignore") if spans else t)
+                texts.append(None if null else kept(data := t.encode(), merged(located(data, spans))).decode("utf-8", "ignore") if spans else t)
             columns[at] = pa.array(texts, schema.field(at).type)
             if chars:
                 columns[count] = pa.array([None if t is None else len(t) for t in texts], schema.field(count).type)
@@ -438,11 +475,11 @@ def remove(docs: DataFrame, key: str, text: str, length: int = LENGTH, chars: st
     return whole.select("text", "spans", *[f"c{i}" for i in range(len(names))]).mapInArrow(run, ddl)
 
 
-DIGEST = "doc_id {0}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = "doc_id {0}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
 
 
 def digests(marked: DataFrame) -> DataFrame:
-    """Per row of ``with_spans``: sizes, and the digest of the bytes that remain."""
+    """Per row of ``with_spans``: sizes, and the digest of the bytes that remain when strings go; then how many passages of words there are, and their bytes."""
     ddl = DIGEST.format(marked.schema["id"].dataType.simpleString())
     schema = common.arrow_type(ddl)
 
@@ -451,8 +488,10 @@ def digests(marked: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 out: dict[str, list] = {x: [] for x in schema.names}
                 for i, text, spans in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
-                    t, runs = text.encode(), merged(spans)
-                    for n, v in zip(schema.names, (i, len(t), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept(t, runs)).hexdigest())):
+                    at = located(t := text.encode(), spans)
+                    runs, passages = merged(at, False), merged(at, True)
+                    size, found = (sum(e - s for s, e in x) for x in (runs, passages))
+                    for n, v in zip(schema.names, (i, len(t), size, len(runs), hashlib.sha256(kept(t, runs)).hexdigest(), len(passages), found)):
                         out[n].append(v)
                 yield common.to_batch(out, schema)
 
@@ -460,5 +499,9 @@ def digests(marked: DataFrame) -> DataFrame:
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without the bytes that strings of 400 bytes found elsewhere cover."""
-    return digests(with_spans(common.table(spark, sf_dir, "documents"), "doc_id", "text"))
+    """All documents without the bytes that strings of 400 bytes found elsewhere cover.
+
+    n_passages and n_passage_bytes tell besides what passages of over 50 words that other documents have too cover. Those of under
+    400 bytes stay in the kept bytes; ``remove`` takes them out.
+    """
+    return digests(with_spans(common.table(spark, sf_dir, "documents"), "doc_id", "text", words=PASSAGE))

@@ -12,12 +12,12 @@ BLANKS = re.compile(rb"[^\t\n\v\f\r ]+")
 
 
 def brute(texts, words, length):
-    """The bytes of each text that lie in no window of words, and no string of ``length`` bytes, that occurs again."""
+    """The bytes of each text that lie in no window of words that another has too, and no string of ``length`` bytes that occurs again."""
     data = [t.encode() for t in texts]
     bounds = [[m.span() for m in BLANKS.finditer(t)] for t in data]
     seen = {}
     for t, b in zip(data, bounds):
-        for k in [tuple(t[x:y] for x, y in b[i : i + words]) for i in range(len(b) - words + 1)] + [t[i : i + length] for i in range(len(t) - length + 1)]:
+        for k in [*{tuple(t[x:y] for x, y in b[i : i + words]) for i in range(len(b) - words + 1)}, *(t[i : i + length] for i in range(len(t) - length + 1))]:
             seen[k] = seen.get(k, 0) + 1
     out = []
     for t, b in zip(data, bounds):
@@ -41,7 +41,8 @@ def texts(seed):
         if r.random() < 0.2:
             p = p.replace(" ", "  ")
         out.append(line(r.randrange(1, 80)) + " " + p + r.choice([" ", "\n", "x "]) + line(r.randrange(1, 80)))
-    return [*out, passages[0] + " " + line(3), passages[0], out[4], out[4]]
+    alone = " ".join(r.choice("fgh") for _ in range(70))
+    return [*out, passages[0] + " " + line(3), passages[0], out[4], out[4], f"{alone} x {alone}"]
 
 
 @pytest.mark.parametrize("hot", [10**6, 3])
@@ -50,7 +51,7 @@ def test_short_passages(spark, hot):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     marked = exactdedup.with_spans(df, "doc_id", "text", hot=hot, words=51).collect()
     want = brute([t for _, t in rows], 51, 400)
-    got = {r.id: exactdedup.kept(r.text.encode(), exactdedup.merged(r.spans)).decode("utf-8", "ignore") for r in marked}
+    got = {r.id: exactdedup.kept(r.text.encode(), exactdedup.merged(exactdedup.located(r.text.encode(), r.spans))).decode("utf-8", "ignore") for r in marked}
     assert [got[i] for i in range(len(rows))] == want
     assert sum(a != b for (_, a), b in zip(rows, want)) > 30
 
@@ -77,3 +78,13 @@ def test_long_texts_are_cut_into_pieces(monkeypatch):
         served += [x for lo, hi in zip(a + at, b + at) for x in range(np.searchsorted(start, lo), np.searchsorted(end, hi) - 49)]
     assert served == list(range(len(start) - 50))
     assert first[0] == start[0] and last[-1] == end[-1]
+
+
+def test_query_counts_passages(spark, tmp_path):
+    rows = list(enumerate(texts(5)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in exactdedup.op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    data = [t for _, t in rows]
+    for i, short in enumerate(brute(data, 51, 10**9)):
+        assert got[i].n_passage_bytes == len(data[i].encode()) - len(short.encode()) and bool(got[i].n_passages) == (short != data[i])
+    assert sum(r.n_passages > 0 and not r.n_removed for r in got.values()) > 5 and got[len(rows) - 1].n_passages == 0
