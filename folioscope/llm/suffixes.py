@@ -1,7 +1,7 @@
 """Sorting byte strings deep-shallow, and finding repeats around shared anchors.
 
-The shallow phase is a multikey sort over 8-byte super-characters, a fixed number of them. Strings that still tie share
-a long prefix; each such group is ordered by a blind trie, which stores only the positions where strings part, so
+The shallow phase is a multikey quicksort over 8-byte super-characters, a fixed number of them; all open segments of all groups are
+split in three at a time. Strings that still tie share a long prefix; each such group is ordered by a blind trie, which stores only the positions where strings part, so
 a string is compared in full once, with one leaf.
 """
 
@@ -69,6 +69,34 @@ class BlindTrie:
         return order, shared
 
 
+def multikey_quicksort(keys: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order of the rows of ``keys`` (strings x super-characters) within each group, groups in rising order.
+
+    A segment holds strings of one group that agree in the super-characters before its depth. Each round splits every open
+    segment at the median of three of its super-characters into less, equal and greater; equal ones go on one deeper.
+    """
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    start = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(g)))
+    depth = np.zeros(len(start), np.int64)
+    while True:
+        open_ = (size > 1) & (depth < keys.shape[1])
+        start, size, depth = start[open_], size[open_], depth[open_]
+        if not len(start):
+            return order
+        of = np.repeat(np.arange(len(start)), size)
+        at = np.arange(len(of)) + np.repeat(start - (np.cumsum(size) - size), size)
+        v = keys[order[at], depth[of]]
+        three = np.sort(np.stack([keys[order[start + k], depth] for k in (0 * size, size // 2, size - 1)]), axis=0)
+        pivot = three[1][of]
+        side = 3 * of + (v >= pivot) + (v > pivot)
+        order[at] = order[at][np.argsort(side, kind="stable")]
+        n = np.bincount(side, minlength=3 * len(start)).reshape(-1, 3)
+        begin = start[:, None] + np.cumsum(n, axis=1) - n
+        start, size, depth = begin.ravel(), n.ravel(), (depth[:, None] + np.array([0, 1, 0])).ravel()
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts strings within each group: (order, common prefix with the string before, -1 at the start of a group).
 
@@ -79,7 +107,7 @@ def deep_shallow(strings: list[bytes], group: np.ndarray) -> tuple[np.ndarray, n
     raw = np.frombuffer(b"".join(s[:width].ljust(width, b"\0") for s in strings), ">u8").reshape(n, SHALLOW).astype(np.uint64)
     # a string that ends within the shallow depth sorts before one that goes on with zeros
     short = np.minimum(lengths, width)
-    order = np.lexsort((short, *(raw[:, k] for k in range(SHALLOW - 1, -1, -1)), group))
+    order = multikey_quicksort(np.column_stack((raw, short.astype(np.uint64))), group)
     g, r, m = group[order], raw[order], short[order]
     shared = np.full(n, -1, np.int64)
     if n > 1:
