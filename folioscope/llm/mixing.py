@@ -1,143 +1,161 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form blocks. Of a source with weight w, block i may not be placed before slot
+Each source's documents form blocks. Of a source with weight w (a fraction of all), block i may not be placed before slot
 floor(i / w) nor after slot ceil((i + 1) / w) - 1; one block goes to each slot, the released one with the earliest
 deadline first. All windows are kept, so after any number t of slots a source has had its share w * t
 to within less than one block. When a source has no blocks left, the rest go on as a new phase with their weights
 scaled up, and every document is placed exactly once.
 
-Weights are rational with a fixed denominator, so the schedule repeats: one period per phase is worked out on the driver
-(its size hangs on the number of sources alone), and every row finds its slot from its rank in its source.
+Weights are whole shares of their sum, taken exactly as they are given, so windows are never rounded. The schedule is a table
+of (source, block, slot) that one task streams out, holding a few numbers per source and at most ``PERIOD`` slots to repeat; rows
+find their slots in it by a join. The driver holds nothing but the weights that the caller gives.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK, PERIOD = 64, 4096
-
-
-def quantise(weights: list[float], period: int) -> list[int]:
-    """Whole shares of ``period``, one at least, by largest remainders."""
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
-    left = period - sum(out)
-    for i in sorted(range(len(out)), key=lambda i: (int(exact[i]) - exact[i], i))[:left]:
-        out[i] += 1
-    return out
-
-
-def edf(shares: list[int]) -> list[int]:
-    """Which source has each slot of a period of sum(shares) slots."""
-    period = sum(shares)
-    deadline = lambda s, i: -(-(i + 1) * period // shares[s])
-    ready = [(deadline(s, 0), s, 0) for s in range(len(shares))]
-    heapq.heapify(ready)
-    waiting: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, i), s, i))
-        d, s, i = heapq.heappop(ready)
-        if t >= d:
-            raise AssertionError("a block missed its deadline")
-        out.append(s)
-        if i + 1 < shares[s]:
-            heapq.heappush(waiting, ((i + 1) * period // shares[s], s, i + 1))
-    return out
-
-
-@dataclass
-class Phase:
-    """From slot ``start`` on: per source its first block, and the slots of its blocks within a period."""
-
-    start: int
-    period: int
-    first: dict[str | None, int]
-    slots: dict[str | None, list[int]]
-
-
-def phases(blocks: dict[str | None, int], weights: dict[str | None, float] | None = None, period: int = PERIOD) -> list[Phase]:
-    """The whole schedule for sources with so many blocks. Sources without a given weight have 1."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = {s: 0 for s in left}
-    start, out = 0, []
-    while left:
-        names = sorted(left, key=lambda s: (s is not None, s))
-        span = max(period, 8 * len(names))
-        shares = quantise([(weights or {}).get(s, 1.0) for s in names], span)
-        slots: dict[str | None, list[int]] = {s: [] for s in names}
-        for t, s in enumerate(edf(shares)):
-            slots[names[s]].append(t)
-        out.append(Phase(start, span, {s: done[s] for s in names}, slots))
-        ends = [(n - 1) // len(slots[s]) * span + slots[s][(n - 1) % len(slots[s])] + 1 for s, n in left.items()]
-        length = min(ends)
-        whole, rest = divmod(length, span)
-        for s in names:
-            had = whole * len(slots[s]) + bisect_right(slots[s], rest - 1)
-            done[s] += had
-            left[s] -= had
-            if not left[s]:
-                del left[s]
-        start += length
-    return out
-
-
-def slot_of(plan: list[Phase], source: str | None, block: int) -> int:
-    """The slot of a source's block."""
-    at = [p for p in plan if source in p.first and p.first[source] <= block][-1]
-    whole, rest = divmod(block - at.first[source], len(at.slots[source]))
-    return at.start + whole * at.period + at.slots[source][rest]
-
-
-def mix(docs: DataFrame, source: str, order: list[str], weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """Adds block, slot and place (in the block) to every row; sort by slot and place for the mixture.
-
-    Within a source rows go by ``order``, which should tell them apart. A null source is a source of its own. The sources
-    with their row counts come to the driver, as the weights do: there is one number for each.
-    """
-    taken = {"_rank", "block", "slot", "place"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns are in the way: {sorted(taken)}")
-    ranked = common.global_rank(docs, order, within=source, name="_rank")
-    sizes = {r[0]: r.n for r in ranked.groupBy(source).agg(F.count("*").alias("n")).collect()}
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, weights)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", block long, slot long, place long"
-    schema = common.arrow_type(kind)
-    at = docs.columns.index(source)
+#: Documents in a block; slots that are kept to be repeated, at most; slots given out at a time.
+BLOCK, PERIOD, CHUNK = 64, 1 << 20, 1 << 16
+
+Weights = dict[str | None, float | int | Fraction]
+
+
+def shares(weights: list[float | int | Fraction]) -> list[int]:
+    """The weights as whole numbers in exactly the same ratios; a float counts as the decimal number that it prints as."""
+    exact = [Fraction(str(w)) if isinstance(w, float) else Fraction(w) for w in weights]
+    if any(x <= 0 for x in exact):
+        raise ValueError("weights are positive")
+    whole = math.lcm(*(x.denominator for x in exact))
+    return [int(x * whole) for x in exact]
+
+
+def tempered(rows: int) -> int:
+    """The weight of a source that none is given for: the square root of its rows, so that small sources are read more often than their size."""
+    return max(1, math.isqrt(rows))
+
+
+def _slots(left: list[int], share: list[int]) -> Iterator[list[int] | tuple[list[int], int]]:
+    """The source of each slot in turn, in lists, and in pairs of (list, how often it comes); uses up ``left``."""
+    active = [s for s in range(len(left)) if left[s] > 0]
+    while active:
+        period = sum(share[s] for s in active)
+        fresh = sorted((-(-period // share[s]), s, 0) for s in active)
+        ready, waiting, t = list(fresh), [], 0
+        out: list[int] = []
+        over = False
+        while not over:
+            while waiting and waiting[0][0] <= t:
+                _, s, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(i + 1) * period // share[s]), s, i))
+            deadline, s, i = heapq.heappop(ready)
+            if t >= deadline:
+                raise AssertionError("a block missed its deadline")
+            out.append(s)
+            left[s] -= 1
+            over = not left[s]
+            t += 1
+            heapq.heappush(waiting, ((i + 1) * period // share[s], s, i + 1))
+            if t == period:  # all sources have had their shares: the next period is like this one
+                if not over and len(out) == period:
+                    again = min((left[k] - 1) // share[k] for k in active)
+                    for k in active:
+                        left[k] -= again * share[k]
+                    yield out, again + 1
+                else:
+                    yield out
+                ready, waiting, t, out = list(fresh), [], 0, []
+            elif len(out) >= CHUNK and period > PERIOD:
+                yield out
+                out = []
+        if out:
+            yield out
+        active = [s for s in active if left[s]]
+
+
+def schedule(blocks: list[int], share: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(source, block) of each slot, in pieces of about ``CHUNK`` slots and more; sources are numbers from 0."""
+    done = np.zeros(len(blocks), np.int64)
+
+    def numbered(source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(source, kind="stable")
+        of, n = np.unique(source, return_counts=True)
+        block = np.empty(len(source), np.int64)
+        block[order] = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(done[of], n)
+        done[of] += n
+        return source, block
+
+    held: list[np.ndarray] = []
+    for part in _slots(list(blocks), share):
+        one, times = part if isinstance(part, tuple) else (part, 1)
+        one = np.array(one, np.int64)
+        step = max(1, CHUNK // len(one))
+        for lo in range(0, times, step):
+            held.append(np.tile(one, min(step, times - lo)))
+            if sum(map(len, held)) >= CHUNK:
+                yield numbered(np.concatenate(held))
+                held = []
+    if held:
+        yield numbered(np.concatenate(held))
+
+
+def _scheduled(sizes: DataFrame, kind: str, weights: Weights | None, block: int) -> DataFrame:
+    """(source, block, slot, share) from (source, n): one task streams the schedule."""
+    ddl = f"source {kind}, block long, slot long, share decimal(38,0)"
+    schema = common.arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, int] = {}
+        names, rows = [], []
         for b in batches:
-            blocks, slots, places = [], [], []
-            for s, rank in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                k, place = divmod(rank, block)
-                if (s, k) not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[s, k] = slot_of(plan, s, k)
-                blocks.append(k)
-                slots.append(known[s, k])
-                places.append(place)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x, pa.int64()) for x in (blocks, slots, places))], schema=schema)
-
+            names += b.column(0).to_pylist()
+            rows += b.column(1).to_pylist()
+        order = sorted(range(len(names)), key=lambda k: (names[k] is not None, names[k]))
+        names, rows = [names[k] for k in order], [rows[k] for k in order]
+        share = shares([tempered(n) if weights is None else weights.get(s, 1) for s, n in zip(names, rows)])
+        values, given = pa.array(names, schema.field(0).type), pa.array(share, schema.field(3).type)
+        slot = 0
+        for source, number in schedule([-(-n // block) for n in rows], share):
+            at = pa.array(source)
+            yield pa.RecordBatch.from_arrays([values.take(at), pa.array(number), pa.array(np.arange(slot, slot + len(source))), given.take(at)], schema=schema)
+            slot += len(source)
+
+    return common.materialize(sizes.repartition(1).mapInArrow(run, ddl), "schedule")
+
+
+def mix(docs: DataFrame, source: str, order: list[str], weights: Weights | None = None, block: int = BLOCK) -> DataFrame:
+    """Adds block, slot, place (in the block) and share (the source's weight) to every row; sort by slot and place for the mixture.
+
+    Within a source rows go by ``order``, which should tell them apart; rows that tie in it, repeated ones too, take places of
+    their own in any order. A null source is a source of its own, null keys come first. ``weights`` are for the sources named, others
+    count 1; without any, a source's is ``tempered``. An empty table gives an empty one. Where ``docs`` has a column of an added
+    one's name, underscores are put behind the added name.
+    """
     common.ship(docs.sparkSession)
-    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], "_rank").mapInArrow(run, kind)
-
-
-def mixed_order(docs: DataFrame, source: str, key: str, text: str, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """The rows of ``docs`` in the mixture's order: partition by partition, and within each."""
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    s = at[source]
+    ranked = common.global_rank(plain, [at[c] for c in order], within=s, name="r").withColumn("k", F.expr(f"r div {block}"))
+    slots = _scheduled(ranked.groupBy(s).agg(F.count("*").alias("n")), docs.schema[source].dataType.simpleString(), weights, block)
+    if slots.count() <= common.BROADCAST_ROWS:  # a row per block
+        slots = F.broadcast(slots)
+    placed = ranked.join(slots, F.col(s).eqNullSafe(F.col("source")) & (F.col("k") == F.col("block")))
+    added = {"block": F.col("k"), "slot": F.col("slot"), "place": F.col("r") % block, "share": F.col("share")}
+    return placed.select(*[F.col(at[c]).alias(c) for c in names], *[v.cast(v_type).alias(common.free_name(n, names)) for (n, v), v_type in zip(added.items(), ("long", "long", "long", "decimal(38,0)"))])
+
+
+def mixed_order(docs: DataFrame, source: str, key: str, text: str, weights: Weights | None = None) -> DataFrame:
+    """The rows of ``docs`` in the mixture's order: partition by partition, and within each. Cases as in ``mix``."""
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     col = {c: f"c{i}" for i, c in enumerate(names)}
@@ -147,6 +165,7 @@ def mixed_order(docs: DataFrame, source: str, key: str, text: str, weights: dict
 
 
 def op6_pfair_mixing(spark, sf_dir: str) -> DataFrame:
-    """All documents with their slots, every source at equal weight while it lasts."""
+    """All documents with their slots; a source's weight (``share``) is the square root of its rows."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("th"))
-    return mix(docs, "source", ["doc_id", "th"]).select("doc_id", "source", "block", "slot", "place")
+    out = mix(docs, "source", ["doc_id", "th"])
+    return out.select("doc_id", "source", "block", "slot", "place", F.col("share").cast("long").alias("share"))

@@ -1,7 +1,8 @@
 """Tokenising and best-fit packing.
 
 Every input partition packs its own documents as they come, so nothing is shuffled and a lost task is
-simply run again. A partition's packer holds a fixed number of open sequences.
+simply run again. A partition's packer holds a fixed number of open sequences. Where the order of the rows matters, it is
+that of the files' names and of the rows in each, which Spark's reading of several files in one partition doesn't keep.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 from .wordbpe import WordBpe
@@ -61,6 +64,16 @@ class BestFit:
         return one, self.capacity - free
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """The rows of a table read from files, in each partition by file name and place in the file; others as they come."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        marked = docs.select(at.alias("_at"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    except AnalysisException:  # not read from files
+        return docs
+    return marked.sortWithinPartitions("_at").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def pack(docs: DataFrame, key: str, text: str, vocabulary: str, capacity: int = 4096, open_bins: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset (and ids on request).
 
