@@ -1,12 +1,15 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A score is the sum of ``SLICES`` partial scores, one per slice of the dimensions. Phase 1 gathers, per
-block of candidates and slice, the k best by partial score and takes the k-th best exact score of those: no
-query's true k-th score is lower than the best of these over the blocks. Phase 2 hands that safe cutoff to
-every block. Phase 3 collects the entries with any partial score of at least cutoff / SLICES (an entry whose sum
-reaches the cutoff has one), resolves their exact scores, and keeps those that reach the cutoff.
-
-Vectors travel in blocks of fixed size. Each block of queries visits each slot of candidate blocks; nothing is
+A score is the sum of ``SLICES`` partial scores, one per slice of the dimensions. Phase 1 gathers local lists: of each block of
+candidates, the k best of a query by the first slice alone, with their exact scores. The k-th best of these is a safe cutoff: no
+query's true k-th score is lower than the best of them over the blocks. Phase 2 hands the cutoffs to every block. Phase 3
+collects what may suffice: an entry reaches the cutoff only if, in some slice, it reaches cutoff / SLICES, so candidates whose
+length in every slice is too short for that are left out before anything is multiplied. The others are summed slice by slice,
+and after each slice candidates go for which what is missing, bounded by the lengths of the rest, reaches no query's cutoff. What
+remains after the last slice has its exact score.
+
+On vectors without any structure the bounds leave out little, and each pair of a query and a candidate is multiplied once and a
+quarter. Vectors travel in blocks of fixed size. Each block of queries visits each slot of candidate blocks; nothing is
 sent to the driver and no list is longer than a block.
 """
 
@@ -22,49 +25,61 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SLICES, LOWEST = 2, -(2**63)
-BLOCK = "block long, n int, dim int, kind string, ids binary, data binary"
+SLICES, LOWEST = 4, -(2**63)
+#: Queries that are compared with a block of candidates at a time.
+STEP = 256
+BLOCK = "block long, n int, dim int, kind string, ids binary, rows binary, data binary"
 
 
 def grid_vectors(df: DataFrame, key: str, vector: str, scale: int = 64) -> DataFrame:
-    """(key, v): floor(scale * x) of every component, as long.
+    """(id, row, v): floor(scale * x) of every component, as long.
 
-    Rows with a null key or vector, or a null, NaN or infinite component, take no part. A key that repeats
-    keeps its least vector. An empty vector is kept: it is zero everywhere.
+    Rows with a null key or vector, or a null, NaN or infinite component, take no part. Rows that repeat a key all stay; ``row``
+    tells them apart once the table is staged. An empty vector is kept: it is zero everywhere.
     """
     bad: Column = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(~bad).select(F.col(key).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    plain = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(~bad)
+    return plain.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), v.alias("v"))
 
 
 def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Packs (id, v) into rows of up to ``rows`` vectors: ids, and a matrix in the narrowest integers that hold it."""
+    """Packs (id, row, v) into rows of up to ``rows`` vectors: ids, and a matrix in the narrowest integers that hold it.
+
+    In a block alike vectors lie together: they go by their largest component and its sign, then by that component.
+    """
     schema = common.arrow_type(BLOCK)
 
-    def pack(ids: list, vs: list, number: int) -> pa.RecordBatch:
+    def pack(ids: list, own: list, vs: list, number: int) -> pa.RecordBatch:
         dim = max(map(len, vs))
         m = np.zeros((len(vs), dim), np.int64)
         for i, v in enumerate(vs):  # shorter vectors end in zeros
             m[i, : len(v)] = v
+        if dim:
+            top = np.abs(m.astype(np.float64)).argmax(1)
+            most = m[np.arange(len(m)), top]
+            order = np.lexsort((most, top))
+            m, ids, own = m[order], [ids[i] for i in order], [own[i] for i in order]
         kind = next(k for k in ("i1", "i2", "i4", "i8") if m.size == 0 or (np.iinfo(k).min <= m.min() and m.max() <= np.iinfo(k).max))
         block = TaskContext.get().partitionId() << 33 | number
-        row = {"block": [block], "n": [len(vs)], "dim": [dim], "kind": [kind], "ids": [np.array(ids, "i8").tobytes()], "data": [m.astype(kind).tobytes()]}
+        row = {"block": [block], "n": [len(vs)], "dim": [dim], "kind": [kind], "ids": [np.array(ids, "i8").tobytes()], "rows": [np.array(own, "i8").tobytes()], "data": [m.astype(kind).tobytes()]}
         return common.to_batch(row, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vs, number = [], [], 0
+        ids, own, vs, number = [], [], [], 0
         for b in batches:
-            values = b.column(1)
+            values = b.column(2)
             flat, ends = values.flatten().to_numpy(), np.asarray(values.offsets)
             ids += b.column(0).to_pylist()
+            own += b.column(1).to_pylist()
             vs += [flat[s:e] for s, e in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
             while len(ids) >= rows:
-                yield pack(ids[:rows], vs[:rows], number)
-                ids, vs, number = ids[rows:], vs[rows:], number + 1
+                yield pack(ids[:rows], own[:rows], vs[:rows], number)
+                ids, own, vs, number = ids[rows:], own[rows:], vs[rows:], number + 1
         if ids:
-            yield pack(ids, vs, number)
+            yield pack(ids, own, vs, number)
 
-    return vectors.mapInArrow(run, BLOCK)
+    return vectors.select("id", "row", "v").mapInArrow(run, BLOCK)
 
 
 def _matrix(n: int, dim: int, kind: str, data: bytes, width: int) -> np.ndarray:
@@ -72,11 +87,71 @@ def _matrix(n: int, dim: int, kind: str, data: bytes, width: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, width - dim))) if dim < width else m
 
 
-def _partials(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Partial scores of queries x candidates, per slice, in the fastest type that holds them exactly."""
+def exact_type(q: np.ndarray, c: np.ndarray) -> type:
+    """The fastest type that holds every sum of products of the two exactly; whole numbers wrap beyond 64 bits."""
     top = int(np.abs(q.astype(np.float64)).max(initial=0)) * int(np.abs(c.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
-    kind = np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
-    return [q[:, s::SLICES].astype(kind) @ c[:, s::SLICES].astype(kind).T for s in range(SLICES)]
+    return np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
+
+
+def slices(width: int) -> list[slice]:
+    """The slices of the dimensions, of nearly equal width."""
+    ends = [width * s // SLICES for s in range(SLICES + 1)]
+    return [slice(a, b) for a, b in zip(ends, ends[1:]) if b > a]
+
+
+def lengths(m: np.ndarray) -> np.ndarray:
+    """(slice, row): the length of each row in each slice, rounded up."""
+    x = m.astype(np.float64)
+    return np.array([np.sqrt((x[:, s] ** 2).sum(1)) * (1 + 1e-9) for s in slices(m.shape[1])]).reshape(-1, len(m))
+
+
+def gather(q: np.ndarray, c: np.ndarray, own: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray | None:
+    """Phase 1: per query the least of the exact scores of its k best candidates by the first slice; None if there are no k others."""
+    n = len(c) - 1
+    if n < k:
+        return None
+    kind = exact_type(q, c)
+    a, b = q.astype(kind), c.astype(kind)
+    first = (slices(q.shape[1]) or [slice(0, 0)])[0]
+    local = a[:, first] @ b[:, first].T
+    local[own] = np.iinfo(kind).min if kind is np.int64 else -np.inf
+    chosen = np.argpartition(local, len(c) - k, axis=1)[:, len(c) - k :]
+    score = np.stack([b[at] @ x for at, x in zip(chosen, a)]) if len(a) else np.zeros((0, k), kind)
+    return score.min(1).astype(np.int64)
+
+
+def resolve(q: np.ndarray, c: np.ndarray, own: tuple[np.ndarray, np.ndarray], cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Phases 2 and 3: (query, candidate, score) of all entries that reach their query's cutoff, and how many scores' worth of products that took."""
+    kind = exact_type(q, c)
+    rows, parts, done = np.arange(len(c)), slices(q.shape[1]), 0
+    a, b = q.astype(kind), c.astype(kind)
+    limit = cut.astype(np.float64)
+    pruned = kind is not np.int64  # sums that wrap obey no bound
+    if pruned and len(parts) and len(c):
+        lq, lc = lengths(q), lengths(c)
+        # the uniform threshold: a score of at least limit needs a partial score of at least limit / slices somewhere
+        local = np.zeros(len(c), bool)
+        for s in range(len(parts)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = np.where(limit <= 0, -np.inf, np.where(lq[s] > 0, limit / len(parts) / lq[s], np.inf)).min()
+            local |= lc[s] >= least
+        rows = np.flatnonzero(local)
+        rest_q, rest_c = (np.sqrt(np.cumsum((x**2)[::-1], axis=0)[::-1]) * (1 + 1e-9) for x in (lq, lc))
+    total = np.zeros((len(q), len(rows)), kind)
+    for s, part in enumerate(parts):
+        total += a[:, part] @ b[rows, part].T
+        done += total.size * (part.stop - part.start)
+        if pruned and s + 1 < len(parts) and total.size:
+            open_ = (total + rest_q[s + 1][:, None].astype(np.float32) * (rest_c[s + 1][rows].astype(np.float32) * np.float32(1 + 1e-5)) >= limit[:, None]).any(0)
+            if open_.mean() < 0.8:
+                rows, total = rows[open_], total[:, open_]
+    over = total >= cut[:, None]
+    if len(own[0]) and len(rows):
+        at = np.minimum(np.searchsorted(rows, own[1]), len(rows) - 1)
+        there = rows[at] == own[1]
+        over[own[0][there], at[there]] = False
+    at_q, at_c = np.nonzero(over)
+    return at_q, rows[at_c], total[at_q, at_c].astype(np.int64), done / max(1, q.shape[1])
 
 
 def _own(qi: np.ndarray, ci: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,81 +162,60 @@ def _own(qi: np.ndarray, ci: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, order[at[rows]]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
-    """(query rows, partial scores, mask of own rows, candidate ids) for slices of each block pair."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(row, first query, queries, candidates, places of own rows) for pieces of each block pair."""
     for b in batches:
         for i in range(b.num_rows):
             r = {k: v[0] for k, v in b.slice(i, 1).to_pydict().items()}
             width = max(r["q_dim"], r["dim"])
             q, c = _matrix(r["q_n"], r["q_dim"], r["q_kind"], r["q_data"], width), _matrix(r["n"], r["dim"], r["kind"], r["data"], width)
-            qi, ci = np.frombuffer(r["q_ids"], "i8"), np.frombuffer(r["ids"], "i8")
-            for lo in range(0, len(qi), step):
-                own = _own(qi[lo : lo + step], ci)
-                yield r, lo, qi[lo : lo + step], ci, _partials(q[lo : lo + step], c), own
+            qr, cr = np.frombuffer(r["q_rows"], "i8"), np.frombuffer(r["rows"], "i8")
+            for lo in range(0, len(q), STEP):
+                yield r, lo, q[lo : lo + STEP], c, _own(qr[lo : lo + STEP], cr)
 
 
 def _gather(k: int):
-    """Phase 1: per query and candidate block, the k-th best exact score among the best of each slice."""
     schema = common.arrow_type("q_block long, i int, cutoff long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, lo, qi, ci, parts, own in _pairs(batches):
-            if len(ci) <= k:
-                continue
-            total, rows = sum(parts), np.arange(len(qi))[:, None]
-            worst = np.iinfo(np.int64).min if total.dtype.kind == "i" else -np.inf
-            chosen = np.zeros(total.shape, bool)
-            for p in parts:
-                p[own] = worst
-                chosen[rows, np.argpartition(p, len(ci) - k, axis=1)[:, len(ci) - k :]] = True
-            chosen[own] = False
-            width = int(chosen.sum(1).max())
-            at = np.argpartition(~chosen, width - 1, axis=1)[:, :width]
-            found = np.where(chosen[rows, at], total[rows, at], worst)
-            found.sort(axis=1)
-            kth = found[:, -k] if width >= k else np.full(len(qi), worst)
-            ok = kth != worst
-            yield common.to_batch({"q_block": [r["q_block"]] * int(ok.sum()), "i": (lo + np.flatnonzero(ok)).tolist(), "cutoff": [int(x) for x in kth[ok]]}, schema)
+        for r, lo, q, c, own in _pairs(batches):
+            cut = gather(q, c, own, k)
+            if cut is not None:
+                yield common.to_batch({"q_block": [r["q_block"]] * len(q), "i": list(range(lo, lo + len(q))), "cutoff": cut.tolist()}, schema)
 
     return run
 
 
+FOUND = "query_id long, query_row long, vec_id long, score long"
+
+
 def _resolve(k: int):
-    """Phases 2 and 3 in a block: entries over the uniform threshold, their exact scores, the block's k best."""
-    schema = common.arrow_type("query_id long, vec_id long, score long")
+    """Phases 2 and 3 in a block, and the block's k best."""
+    schema = common.arrow_type(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, lo, qi, ci, parts, own in _pairs(batches):
+        for r, lo, q, c, own in _pairs(batches):
             cut = np.full(r["q_n"], LOWEST, np.int64)
             for x in r["cutoffs"] or []:
                 cut[x["i"]] = x["cutoff"]
-            cut = cut[lo : lo + len(qi), None]
-            if parts[0].dtype.kind == "i":
-                over = np.ones(parts[0].shape, bool)  # halves of near-overflowing sums are not compared
-            else:
-                over = parts[0] >= cut / SLICES
-                for p in parts[1:]:
-                    over |= p >= cut / SLICES
-            total = sum(parts)
-            over &= total >= cut
-            over[own] = False
-            at_q, at_c = np.nonzero(over)
-            score, ids = total[at_q, at_c].astype(np.int64), ci[at_c]
+            at_q, at_c, score, _ = resolve(q, c, own, cut[lo : lo + len(q)])
+            qi, qr, ci = (np.frombuffer(r[x], "i8") for x in ("q_ids", "q_rows", "ids"))
+            ids = ci[at_c]
             order = np.lexsort((ids, -score.astype(object) if len(score) and score.min() == LOWEST else -score, at_q))
             at_q = at_q[order]
-            first = np.searchsorted(at_q, np.arange(len(qi)))
+            first = np.searchsorted(at_q, np.arange(len(q)))
             keep = np.arange(len(at_q)) - first[at_q] < k
-            order, at_q = order[keep], at_q[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(qi[at_q]), pa.array(ids[order]), pa.array(score[order])], schema=schema)
+            order, at_q = order[keep], at_q[keep] + lo
+            yield pa.RecordBatch.from_arrays([pa.array(qi[at_q]), pa.array(qr[at_q]), pa.array(ids[order]), pa.array(score[order])], schema=schema)
 
     return run
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = 2048, candidate_block: int = 8192, slots: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best candidates of every query (all, if fewer), ties to the smaller id.
+    """(query_id, query_row, rank, vec_id, score): the k best candidates of every query (all, if fewer), ties to the smaller id.
 
-    Both inputs are (id, v) as from ``grid_vectors``; a candidate with the query's id is its own row and left
-    out. Scores are exact while they fit in 64 bits and wrap beyond. No queries or no candidates: no rows.
+    Both inputs are (id, row, v) as from ``grid_vectors``, of one staged table; a candidate with the query's row is its own and left
+    out, others with its id are not. Scores are exact while they fit in 64 bits and wrap beyond. No queries or no candidates: no rows.
     """
     spark = candidates.sparkSession
     common.ship(spark)
@@ -176,30 +230,29 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int =
 
     cutoffs = meet(q).mapInArrow(_gather(k), "q_block long, i int, cutoff long").groupBy("q_block", "i").agg(F.max("cutoff").alias("cutoff"))
     listed = cutoffs.groupBy("q_block").agg(F.collect_list(F.struct("i", "cutoff")).alias("cutoffs"))
-    found = meet(q.join(listed, "q_block", "left")).mapInArrow(_resolve(k), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = meet(q.join(listed, "q_block", "left")).mapInArrow(_resolve(k), FOUND)
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "query_row", "rank", "vec_id", "score")
 
 
 def op9_exact_top_k(spark, sf_dir: str, k: int = 20) -> DataFrame:
     """Every row whose vec_id is divisible by 20 against all rows of embeddings."""
     v = common.materialize(grid_vectors(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
-    return top_k(v.where(F.col("id") % 20 == 0), v, k)
+    return top_k(v.where(F.col("id") % 20 == 0), v, k).select("query_id", "rank", "vec_id", "score")
 
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  SELECT vec_id, row_number() OVER () AS own, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.own AS own, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+  FROM v q JOIN v c ON c.own <> q.own WHERE q.vec_id % 20 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

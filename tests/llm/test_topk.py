@@ -1,29 +1,25 @@
 import math
 import random
 
+import numpy as np
 import pytest
-from folioscope.llm import topk
+from folioscope.llm import common, topk
 
 
 def brute(rows, k, every=20):
-    vs = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        g = [math.floor(64 * x) for x in v]
-        vs[i] = min(vs[i], g) if i in vs else g
+    vs = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in vs:
+    for a, (q, qv) in enumerate(vs):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(vs[q], vs[c])), c) for c in vs if c != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(qv, cv)), c) for b, (c, cv) in enumerate(vs) if a != b)[:k]
             out += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
     return sorted(out)
 
 
 def run(spark, rows, k=20, **sizes):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3)
-    v = topk.grid_vectors(df, "vec_id", "embedding")
-    return sorted(tuple(r) for r in topk.top_k(v.where("id % 20 = 0"), v, k, **sizes).collect())
+    v = common.materialize(topk.grid_vectors(df, "vec_id", "embedding"), "vectors")
+    return sorted(tuple(r) for r in topk.top_k(v.where("id % 20 = 0"), v, k, **sizes).drop("query_row").collect())
 
 
 @pytest.mark.parametrize("sizes", [{}, {"query_block": 4, "candidate_block": 30, "slots": 3}, {"query_block": 1, "candidate_block": 7, "slots": 1}])
@@ -48,3 +44,47 @@ def test_large_components_are_exact(spark):
     for size in (2.0**10, 2.0**22):
         rows = [(i, [float(r.randrange(-5, 6)) * size for _ in range(6)]) for i in range(60)]
         assert run(spark, rows, 5) == brute(rows, 5)
+
+
+def clustered(n, clusters, seed):
+    r = np.random.default_rng(seed)
+    centres = r.normal(0, 20, (clusters, 48))
+    return np.floor(centres[r.integers(0, clusters, n)] + r.normal(0, 1, (n, 48))).astype(np.int64)
+
+
+NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def test_threshold_leaves_out_what_cannot_suffice():
+    """Alike queries against clustered candidates: fewer scores are computed than there are pairs, and none that reaches the cutoff is missed."""
+    c = clustered(6000, 30, 1)
+    q = c[np.argsort(((c - c[0]) ** 2).sum(1))[:50]]
+    cut = topk.gather(q, c, NONE, 20)
+    full = q @ c.T
+    assert (cut <= np.sort(full, axis=1)[:, -20]).all()
+    at_q, at_c, score, work = topk.resolve(q, c, NONE, cut)
+    assert sorted(zip(at_q.tolist(), at_c.tolist(), score.tolist())) == [(i, j, int(full[i, j])) for i, j in zip(*np.nonzero(full >= cut[:, None]))]
+    assert work < 0.6 * full.size
+
+
+def test_short_candidates_are_never_multiplied():
+    r = np.random.default_rng(2)
+    c = np.concatenate((r.integers(-3, 4, (5000, 32)), r.integers(80, 100, (100, 32))))
+    q = r.integers(1, 50, (40, 32))
+    cut = topk.gather(q, c, NONE, 10)
+    *_, work = topk.resolve(q, c, NONE, cut)
+    assert work <= 40 * 100
+
+
+@pytest.mark.parametrize("scale", [1, 2**20, 2**34])
+def test_bounds_hold_at_any_size(scale):
+    r = np.random.default_rng(3)
+    for dims in (0, 1, 3, 17):
+        q, c = (r.integers(-9, 10, (n, dims)) * scale for n in (13, 300))
+        own = (np.arange(13), np.arange(13) * 2)
+        full = (q @ c.T).astype(np.int64)
+        cut = topk.gather(q, c, own, 5)
+        at_q, at_c, score, work = topk.resolve(q, c, own, cut)
+        want = full >= cut[:, None]
+        want[own] = False
+        assert (np.stack((at_q, at_c)) == np.stack(np.nonzero(want))).all() and (score == full[want]).all() and work <= full.size
