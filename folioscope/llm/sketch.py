@@ -1,10 +1,9 @@
 """Threshold-scaled fingerprints of documents.
 
-A document's fingerprint keeps every word-shingle hash below a fixed fraction of the hash range. Such sketches
-of any two documents, however unequal, hold the same sample of shingles: the union of documents is the union
-of their sketches, and containment and resemblance are ratios of counts. A document too short to have ``FLOOR``
-hashes there keeps its ``FLOOR`` smallest (all, if it has fewer) and records the threshold that this amounts to;
-two fingerprints are always compared below the lower of their thresholds.
+A document's fingerprint keeps every word-shingle hash below a fixed fraction of the hash range, whatever its length. Such sketches
+of any two documents, however unequal, hold the same sample of shingles: the sketch of a union is the union
+of the sketches, and containment and resemblance are ratios of counts. Short documents keep few hashes or none; ``FRACTION`` is
+the parameter for that. A tag of the whole set of shingles goes with a sketch, so that equal documents are known as such even if they keep none.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ import base64
 import hashlib
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS, FRACTION, FLOOR = 5, 1 / 8, 64
+WORDS, FRACTION = 5, 1 / 4
 TOP = 2**64 - 1
 #: Word hashes kept by a Python worker.
 MEMO = 400_000
 _SEEN: dict[str, int] = {}
 
-Sketch = tuple[int, np.ndarray]  # threshold, sorted distinct hashes up to it
+
+@dataclass
+class Sketch:
+    """``kept``: the sorted distinct hashes up to ``limit``; ``tag``: a digest of all distinct hashes, 0 if it isn't known."""
+
+    limit: int
+    tag: int
+    kept: np.ndarray
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,55 +84,51 @@ def shingle_hashes(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def sketch(hashes: np.ndarray, fraction: float = FRACTION, floor: int = FLOOR) -> Sketch:
-    """The fingerprint of a document's shingle hashes."""
+def sketch(hashes: np.ndarray, fraction: float = FRACTION) -> Sketch:
+    """The fingerprint of a document's shingle hashes; that of no hash at all is empty."""
     limit = int(fraction * 2.0**64) - 1 if fraction < 1 else TOP
-    low = np.unique(hashes[hashes <= np.uint64(limit)])
-    if len(low) >= floor:
-        return limit, low
     distinct = np.unique(hashes)
-    if len(distinct) <= floor:
-        return TOP, distinct
-    return max(limit, int(distinct[floor - 1])), distinct[: max(floor, len(low))]
+    tag = xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes()) or 1
+    return Sketch(limit, tag, distinct[: np.searchsorted(distinct, np.uint64(limit), side="right")])
 
 
 def _below(s: Sketch, limit: int) -> np.ndarray:
-    return s[1][: np.searchsorted(s[1], np.uint64(limit), side="right")]
+    return s.kept[: np.searchsorted(s.kept, np.uint64(limit), side="right")]
 
 
 def _common(a: Sketch, b: Sketch) -> tuple[int, int, int]:
     """(shared, of a, of b) hashes below the lower threshold."""
-    limit = min(a[0], b[0])
+    limit = min(a.limit, b.limit)
     x, y = _below(a, limit), _below(b, limit)
     return len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
 
 
 def resemblance(a: Sketch, b: Sketch) -> float:
-    """Estimated share of the union's shingles that both have: 1 for two empty sketches, 0 for one."""
+    """Estimated share of the union's shingles that both have; where neither keeps one: 1 if the tags are equal, else 0."""
     shared, x, y = _common(a, b)
-    return shared / (x + y - shared) if x + y else float(len(a[1]) == len(b[1]))
+    return shared / (x + y - shared) if x + y else float(a.tag == b.tag)
 
 
 def containment(a: Sketch, b: Sketch) -> float:
-    """Estimated share of a's shingles that b has; 1 for an empty a."""
+    """Estimated share of a's shingles that b has; where a keeps none: 1 if the tags are equal, else 0."""
     shared, x, _ = _common(a, b)
-    return shared / x if x else float(not len(a[1]))
+    return shared / x if x else float(a.tag == b.tag)
 
 
 def merge(a: Sketch, b: Sketch) -> Sketch:
     """The sketch of both documents together."""
-    limit = min(a[0], b[0])
-    return limit, np.union1d(_below(a, limit), _below(b, limit))
+    limit = min(a.limit, b.limit)
+    return Sketch(limit, a.tag if a.tag == b.tag else 0, np.union1d(_below(a, limit), _below(b, limit)))
 
 
 def to_text(s: Sketch) -> str:
-    """A printable form: threshold and hashes, 64 bits each, base64."""
-    return base64.b64encode(np.append(np.array([s[0]], np.uint64), s[1]).astype(">u8").tobytes()).decode()
+    """A printable form: threshold, tag and hashes, 64 bits each, base64."""
+    return base64.b64encode(np.concatenate((np.array([s.limit, s.tag], np.uint64), s.kept)).astype(">u8").tobytes()).decode()
 
 
 def from_text(text: str) -> Sketch:
     a = np.frombuffer(base64.b64decode(text), ">u8").astype(np.uint64)
-    return int(a[0]), a[1:]
+    return Sketch(int(a[0]), int(a[1]), a[2:])
 
 
 def cuts(df: DataFrame, key: str, parts: int) -> list[int]:

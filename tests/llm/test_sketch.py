@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from folioscope.llm import sketch
 
+TOP = 2**64 - 1
+
 
 def brute(rows):
     """(doc_id, n, edited) in order, as the contract has it."""
@@ -23,6 +25,15 @@ def true_likeness(a, b):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
+def low(text):
+    """The shingle hashes below the fraction."""
+    return {h for h in sketch.shingle_hashes([text])[0].tolist() if h < 2**62}
+
+
+def likeness(x, y, a, b):
+    return len(x & y) / len(x | y) if x | y else float(true_likeness(a, b) == 1)
+
+
 @pytest.fixture
 def texts():
     r = random.Random(4)
@@ -45,10 +56,13 @@ def test_next_and_edits(spark, texts, parts):
     for r in got:
         t, n = by[r.doc_id] or "", by[order[(order.index(r.doc_id) + 1) % len(order)]] or ""
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        assert abs(r.near_edited - true_likeness(t, e)) < 0.25
-        assert abs(r.near_next - true_likeness(t, n)) < 0.25
-        limit, kept = sketch.from_text(r.fingerprint)
-        assert sketch.to_text((limit, kept)) == r.fingerprint
+        a, b, c = (low(x) for x in (t, e, n))
+        assert r.near_edited == likeness(a, b, t, e) and r.near_next == likeness(a, c, t, n)
+        for x, kept, near in ((e, b, r.near_edited), (n, c, r.near_next)):  # five standard errors of the sample that both keep
+            assert not (a | kept) or abs(near - true_likeness(t, x)) < 2.5 / len(a | kept) ** 0.5
+        s = sketch.from_text(r.fingerprint)
+        assert sketch.to_text(s) == r.fingerprint and set(s.kept.tolist()) == a and s.limit == 2**62 - 1
+        assert set(sketch.from_text(r.edited_fingerprint).kept.tolist()) == b
 
 
 def test_edges(spark):
@@ -61,11 +75,24 @@ def test_edges(spark):
     assert len(got) == 4 and len({r.fingerprint for r in got}) == 2
 
 
-def test_sketches_merge():
+@pytest.mark.parametrize("sizes", [(50_000, 300), (200, 200), (3, 1), (0, 40), (1, 0)])
+def test_merged_sketches_are_those_of_unions(sizes):
     r = np.random.default_rng(5)
-    a, b = r.integers(0, 2**63, 50_000, dtype=np.uint64) * np.uint64(2), r.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2)
-    both = sketch.merge(sketch.sketch(a), sketch.sketch(np.concatenate((a[:900], b))))
-    assert np.array_equal(both[1], sketch.sketch(np.concatenate((a, b)))[1])
+    a, b = (r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) for n in sizes)
+    b = np.concatenate((a[: len(a) // 3], b))
+    for fraction in (1 / 4, 1 / 64, 1):
+        x, y, both = (sketch.sketch(h, fraction) for h in (a, b, np.concatenate((a, b))))
+        m = sketch.merge(x, y)
+        assert m.limit == both.limit and np.array_equal(m.kept, both.kept)
+    lower = sketch.merge(sketch.sketch(a, 1 / 4), sketch.sketch(b, 1 / 64))
+    assert np.array_equal(lower.kept, sketch.sketch(np.concatenate((a, b)), 1 / 64).kept)
+
+
+def test_containment_between_very_unequal_documents():
+    r = np.random.default_rng(6)
+    a = r.integers(0, 2**63, 50_000, dtype=np.uint64) * np.uint64(2)
     small, large = sketch.sketch(a[:2000]), sketch.sketch(a)
     assert sketch.containment(small, large) == 1.0
     assert abs(sketch.containment(large, small) - 2000 / 50_000) < 0.02
+    none = sketch.sketch(np.array([TOP], np.uint64))
+    assert not len(none.kept) and sketch.resemblance(none, none) == 1 and sketch.resemblance(none, sketch.sketch(a[:0])) == 0
