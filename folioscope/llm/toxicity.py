@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols: insult (with a weight), threat, target, negation, reported speech, other. Small transducers
-read a clause's symbols side by side: one knows whether a negation is in scope, one whether the clause
-reports someone's words, one whether a target was named nearby. Their composition tells in which context each insult
-or threat stands. A document's features are the weights of its matched clauses by context; isolated words have none.
-The lexicon of insults (whole words and stems) and the weights of the contexts are learnt from labels.
+read a clause's symbols side by side, some from its start and some from its end: whether a negation is in scope, whether
+someone's words are reported, whether a target stands near, whether a threat has met its target, whether a word has another
+beside it that it can be said of. What they tell of a position, put together, is the pattern that matches there: an insult at
+a target, an insult said of something, a threat at a target; each plain, negated, reported or both. A clause's weight is that of
+its matches together, each word once, and it counts under the pattern of the heaviest; a document's features are the weights of its
+matched clauses. One word is no clause: it is read with what follows. A lexicon word alone matches nothing, nor does a threat without a target.
+The lexicon of insults (whole words and stems) and the weights of the patterns are learnt from labels.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from . import common
 
 #: Labelled rows to learn from, at most: those with the least hashes of their ids.
 SAMPLE = 20_000
-#: Stems tried, and patterns counted, at most (by frequency among toxic rows).
-STEMS, PATTERNS = (4, 5, 6, 7), 60_000
+#: Lengths of stems.
+STEMS = (4, 5, 6, 7)
 #: A pattern needs a log-odds this many standard errors over 0 and this high; seeds need less.
 SURE, SEED_SURE, LEAST = 3.2, 1.5, 2.0
 
@@ -42,37 +45,71 @@ _BREAKS = ".!?;\n"
 
 
 class Transducer:
-    """A deterministic automaton over word symbols whose output is a flag: may the next match stand in its context?"""
+    """A deterministic automaton over word symbols. Its output for a symbol says whether the symbol stands in its context.
 
-    def __init__(self, sets: int, scope: int):
-        self.sets, self.scope = sets, scope
+    ``opens`` are the symbols that open a scope of ``scope`` symbols; the first ``skip`` of them are not in it yet. Where ``at``
+    is given, only that symbol meets the context, and closes it.
+    """
+
+    def __init__(self, opens: set[int], scope: int, skip: int = 0, at: int | None = None):
+        self.opens, self.scope, self.skip, self.at = opens, scope, skip, at
 
-    def step(self, state: int, symbol: int) -> int:
-        return self.scope if symbol == self.sets else max(0, state - 1)
+    def step(self, state: int, symbol: int) -> tuple[int, bool]:
+        """``state`` is how many symbols the scope still has."""
+        met = 0 < state <= self.scope - self.skip and (self.at is None or symbol == self.at)
+        after = self.scope if symbol in self.opens else 0 if met and self.at is not None else max(0, state - 1)
+        return after, met
 
 
 class Composed:
-    """Transducers run together; product states are made when first met."""
+    """Transducers run together; product states are made when first met. The output has a bit per transducer."""
 
     def __init__(self, *parts: Transducer):
         self.parts = parts
         self.moves: dict[tuple, tuple[tuple, int]] = {}
 
-    def read(self, symbols: Iterable[tuple[int, float]]) -> Iterator[tuple[int, float, int]]:
-        """(symbol, weight, context) of each insult or threat; context is a bit per transducer."""
-        state = (0,) * len(self.parts)
-        for symbol, weight in symbols:
+    def read(self, symbols: Iterable[int]) -> list[int]:
+        state, out = (0,) * len(self.parts), []
+        for symbol in symbols:
             key = (state, symbol)
             if key not in self.moves:
-                after = tuple(p.step(s, symbol) for p, s in zip(self.parts, state))
-                self.moves[key] = after, sum(1 << i for i, s in enumerate(state) if s)
+                steps = [p.step(s, symbol) for p, s in zip(self.parts, state)]
+                self.moves[key] = tuple(s for s, _ in steps), sum(1 << i for i, (_, met) in enumerate(steps) if met)
             state, context = self.moves[key]
-            if symbol in (INSULT, THREAT):
-                yield symbol, weight, context
-
-
-GRAMMAR = (Transducer(NEGATION, 3), Transducer(REPORT, 1000), Transducer(TARGET, 6))
-FEATURES = 2 * 2 ** len(GRAMMAR) + 3
+            out.append(context)
+        return out
+
+
+#: Any other word of the clause can be what an insult is said of.
+_HEADS = {OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT}
+#: From a clause's start: negated, reported, after a target, after a word, a threat that meets its target. From its end: reported by what follows
+#: ("..., he said"), before a target, before a word.
+FORWARD = (Transducer({NEGATION}, 3), Transducer({REPORT}, 1000), Transducer({TARGET}, 6), Transducer(_HEADS, 1), Transducer({THREAT}, 4, at=TARGET))
+BACKWARD = (Transducer({REPORT}, 3, skip=1), Transducer({TARGET}, 3), Transducer(_HEADS, 1))
+AIMED, SAID_OF, THREATENED = range(3)
+FEATURES = 3 * 4 + 3
+
+
+class Grammar:
+    """The transducers of both directions, and the pattern that their outputs make of a position."""
+
+    def __init__(self):
+        self.forward, self.backward = Composed(*FORWARD), Composed(*BACKWARD)
+
+    def matches(self, clause: list[tuple[int, float, str]]) -> Iterator[tuple[int, int, float, str]]:
+        """(pattern, context, weight, word) of each match in a clause of (symbol, weight, word); context: 1 negated, 2 reported."""
+        symbols = [k for k, _, _ in clause]
+        after = self.forward.read(symbols)
+        before = self.backward.read(symbols[::-1])[::-1]
+        for (symbol, weight, word), f, b in zip(clause, after, before):
+            context = (f & 1) + 2 * (f >> 1 & 1 | b & 1)
+            if symbol == INSULT:
+                if f & 4 or b & 2:
+                    yield AIMED, context, weight, word
+                elif f & 8 or b & 4:
+                    yield SAID_OF, context, weight, word
+            elif f & 16:
+                yield THREATENED, context, 1.0, word
 
 
 @dataclass
@@ -100,44 +137,55 @@ class Scorer:
     MEMO = 300_000
 
     def __init__(self, model: Model):
-        self.model, self.grammar = model, Composed(*GRAMMAR)
-        self.memo: dict[str, tuple[int, float]] = {}
-
-    def symbol(self, word: str) -> tuple[int, float]:
-        found = self.memo.get(word)
-        if found is None:
-            w = self.model.insult(word)
-            kind = INSULT if w > 0 else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
-            found = kind, w or 1.0
-            if len(self.memo) >= self.MEMO:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+        self.model, self.grammar = model, Grammar()
+        self.seen: set[str] = set()
+        self.hot: dict[str, tuple[int, float, str]] = {}
+
+    def symbol(self, word: str) -> tuple[int, float, str]:
+        w = self.model.insult(word)
+        kind = INSULT if w > 0 else THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
+        return kind, w or 1.0, word
 
     def features(self, text: str) -> np.ndarray:
-        """Weights of matched clauses: by symbol and context, in the best clause, their number, and their share."""
+        """Weights of matched clauses: by pattern and context, in the best clause, their number, and their share."""
         x = np.zeros(FEATURES)
         lowered = text.lower()
-        symbol, memo = self.symbol, self.memo.get
-        if not any((memo(w) or symbol(w))[0] in (INSULT, THREAT) for w in _WORD.findall(lowered)):
+        words = set(_WORD.findall(lowered))
+        new = words - self.seen
+        if new:
+            if len(self.seen) >= self.MEMO:
+                self.seen.clear()
+                self.hot.clear()
+                new = words
+            self.seen |= new
+            self.hot |= {w: found for w in new if (found := self.symbol(w))[0] != OTHER}
+        here = {w: self.hot[w] for w in words & self.hot.keys()}
+        if not any(kind in (INSULT, THREAT) for kind, _, _ in here.values()):
             return x
+        other = (OTHER, 1.0, "")
         clauses, clause = [], []
         for token in _TOKEN.findall(lowered):
             if token in _BREAKS:
-                if clause:
+                if len(clause) > 1:  # one word is read with what follows
                     clauses.append(clause)
                     clause = []
             else:
-                clause.append(symbol(token))
-        clauses.append(clause)
+                clause.append(here.get(token, other))
+        if len(clause) == 1 and clauses:
+            clauses[-1] += clause
+        elif clause:
+            clauses.append(clause)
         matched, best = 0, 0.0
         for c in clauses:
-            total = 0.0
-            for kind, weight, context in self.grammar.read(c):
-                x[(kind == THREAT) * 2 ** len(GRAMMAR) + context] += weight
-                total += weight
-            matched += total > 0
-            best = max(best, total)
+            if not any(kind in (INSULT, THREAT) for kind, _, _ in c):
+                continue
+            found = sorted(self.grammar.matches(c), key=lambda m: (-m[2], m[1], m[0]))
+            if found:
+                weight = sum({word: w for _, _, w, word in found}.values())
+                pattern, context = found[0][:2]
+                x[pattern * 4 + context] += weight
+                matched += 1
+                best = max(best, weight)
         x[:-3] = np.log1p(x[:-3])
         x[-3:] = math.log1p(best), math.log1p(matched), matched / len(clauses)
         return x
@@ -208,22 +256,26 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 40) -
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from up to ``sample`` labelled rows outside the held-out fifth.
 
-    Only the sample's counts reach the driver: patterns that toxic rows hold, their counts, and per row the few words
-    that match a pattern. Without labels of both kinds the model has no pattern and scores every text low.
+    Of rows that share an id the one whose text has the least hash teaches, so no more than ``sample`` rows are read. Only
+    the sample's counts reach the driver: patterns that toxic rows hold often enough to be trusted, their counts, and per row the
+    few words that match a pattern. Without labels of both kinds the model has no pattern and scores every text low.
     """
     spark = docs.sparkSession
     common.ship(spark)
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
-    rows = common.materialize(rows, "labelled")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text")))
+    rows = common.materialize(rows.groupBy("doc_id").agg(first.alias("text"), F.max(F.col("toxic") > 0).alias("toxic")).select("text", "toxic"), "labelled")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     np_, nn = sizes.get(True, 0), sizes.get(False, 0)
     if not np_ or not nn:
         return Model()
-    tried = _counts(rows.where("toxic"), "text", None).where(F.col("n") >= 2).orderBy(F.desc("n"), "pattern").limit(PATTERNS)
+    enough = [next((n for n in range(2, np_ + 1) if _good(p, n, 0, np_, nn)), np_ + 1) for p in (next(iter(SEEDS)) + "$", "")]
+    seed = F.expr("left(pattern, length(pattern) - 1)").isin(list(SEEDS))
+    tried = _counts(rows.where("toxic"), "text", None).where(F.col("n") >= F.when(seed, enough[0]).otherwise(enough[1]))
     positive = {r.pattern: r.n for r in tried.collect()}
-    hopeful = {p for p, n in positive.items() if _good(p, n, 0, np_, nn)}
+    hopeful = set(positive)
     negative = {r.pattern: r.n for r in _counts(rows.where("not toxic"), "text", hopeful).collect()}
     good = {p for p in hopeful if _good(p, positive[p], negative.get(p, 0), np_, nn)}
     model = _lexicon(_matches(rows, good), good, np_, nn)
@@ -280,7 +332,12 @@ def _lexicon(matches: list[tuple[bool, list[str]]], good: set[str], np_: int, nn
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with ``name``: a score (0 to 1) for each whole text; a null text is empty. Other columns are never read."""
+    """``docs`` with ``name``: a score (0 to 1) for each whole text; a null text is empty, and rows that repeat score alike.
+
+    Other columns are never read. If one of them has the name already, underscores are put behind the new one's. An empty table
+    stays empty.
+    """
+    name = common.free_name(name, docs.columns)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
     schema, at = common.arrow_type(kind), docs.columns.index(text)
 
@@ -298,9 +355,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; the model learns from those of them that have labels."""
-    name = "_toxicity"
-    while name in docs.columns:
-        name += "_"
+    name = common.free_name("toxicity", docs.columns)
     return scored(docs, train(docs, labels), name=name).where(F.col(name) < threshold).drop(name)
 
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from folioscope.llm import toxicity as tox
+from pyspark.sql import functions as F
 
 
 def corpus(n, seed=8):
@@ -56,12 +57,37 @@ def test_no_labels(spark, frames):
     assert tox.scored(docs.drop("score").limit(0), model).count() == 0
 
 
-def test_contexts_compose():
-    model = tox.Model({"oaf": 5.0}, {})
-    s = tox.Scorer(model)
-    read = lambda t: [c for _, _, c in tox.Composed(*tox.GRAMMAR).read([s.symbol(w) for w in t.split()])]
-    assert read("oaf") == [0] and read("not a oaf") == [1] and read("she said oaf") == [6] and read("you oaf") == [4]
-    assert read("not then or ever an oaf") == [0]
-    x = s.features("Fine day. You oaf! Not so.")
-    assert x[-1] == pytest.approx(1 / 4) or x[-1] == pytest.approx(1 / 3)
-    assert not s.features("nothing here. at all").any()
+def test_patterns_match_clauses():
+    s = tox.Scorer(tox.Model({"oaf": 5.0, "cad": 7.0}, {}))
+    read = lambda t: [m[:3] for m in s.grammar.matches([s.symbol(w) for w in t.split()])]
+    aimed, said, threat = tox.AIMED, tox.SAID_OF, tox.THREATENED
+    assert read("oaf") == read("kill") == read("kill the time") == []
+    assert read("you oaf") == read("an oaf like you")[:1] == [(aimed, 0, 5.0)]
+    assert read("oaf cad") == [(said, 0, 5.0), (said, 0, 7.0)]
+    assert read("what an oaf") == read("oaf driver") == [(said, 0, 5.0)]
+    assert read("they kill you") == read("kill all of them") == [(threat, 0, 1.0)] and read("you kill") == []
+    assert read("not a oaf") == [(said, 1, 5.0)] and read("never kill them") == [(threat, 1, 1.0)]
+    assert read("mary said you are an oaf") == [(aimed, 2, 5.0)] and read("mary said oaf") == [(said, 2, 5.0)]
+    assert read("what an oaf mary said") == [(said, 2, 5.0)] and read("the oaf said so") == [(said, 0, 5.0)]
+    assert read("mary said she is not an oaf") == [(aimed, 3, 5.0)]
+    assert read("not then or ever an oaf") == [(said, 0, 5.0)]
+
+
+def test_clauses_are_scored_not_words():
+    s = tox.Scorer(tox.Model({"oaf": 5.0, "cad": 7.0}, {}))
+    x = s.features("Fine day. You oaf, you cad, cad! Not so")
+    assert x[tox.AIMED * 4] == pytest.approx(np.log1p(12)) and np.count_nonzero(x[:12]) == 1 and x[-1] == pytest.approx(1 / 3)
+    for t in ("", "oaf", "Oaf!!", "nothing here. at all", "Kill time. You are here"):
+        assert not s.features(t).any()
+    assert s.features("What. Oaf!").any() and s.features("Oaf! What is this").any() and s.features("This is it. Oaf").any()
+    s.MEMO = 3
+    assert (s.features("Fine day. You oaf, you cad, cad! Not so") == x).all()
+
+
+def test_repeated_ids_and_clashing_names(spark, frames):
+    docs, labels, _ = frames
+    model = tox.train(docs, labels)
+    again = tox.train(docs.union(docs).union(docs.withColumn("text", F.concat("text", F.lit(" ")))), labels)
+    assert again.words == model.words and again.stems == model.stems
+    out = tox.scored(docs.limit(5), model)
+    assert out.columns == [*docs.columns, "score_"] and [r.score for r in out.collect()] == [r.score for r in docs.limit(5).collect()]
