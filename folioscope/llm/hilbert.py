@@ -54,9 +54,23 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def category(c: Column, bits: int) -> Column:
-    """A grid coordinate for a label: equal labels share it, null is 0."""
-    return F.when(c.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << bits))).cast("int")
+def with_cells(rows: DataFrame, labels: list[str], bits: int) -> DataFrame:
+    """``rows`` and, for label k, a grid coordinate ``_cell{k}`` that rises with the label: its rank among the distinct ones, scaled to the grid.
+
+    Null is 0. While there are fewer labels than cells each has its own; so a range of cells is a range of labels, by which files are told
+    apart. The distinct labels are ranked in parallel, and broadcast only if they are few.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), F.col(c).cast("string").alias("label")) for k, c in enumerate(labels)])).alias("x")
+    distinct = rows.select(each).select("x.dim", "x.label").where("label is not null").distinct()
+    ranked = common.materialize(common.global_rank(distinct, ["label"], within="dim", name="r"), "labels")
+    sizes = ranked.groupBy("dim").agg(F.count("*").alias("n"))
+    cells = ranked.join(sizes, "dim").select("dim", "label", F.expr(f"int(1 + r * {(1 << bits) - 1}L div greatest(n, {(1 << bits) - 1}L))").alias("cell"))
+    few = ranked.count() <= common.BROADCAST_ROWS
+    for k, c in enumerate(labels):
+        own = cells.where(F.col("dim") == k).select(F.col("label").alias(f"_label{k}"), F.col("cell").alias(f"_own{k}"))
+        rows = rows.join(F.broadcast(own) if few else own, F.col(c).cast("string") == F.col(f"_label{k}"), "left")
+        rows = rows.withColumn(f"_cell{k}", F.coalesce(f"_own{k}", F.lit(0))).drop(f"_label{k}", f"_own{k}")
+    return rows
 
 
 def magnitude(c: Column, bits: int, steps: int = 10) -> Column:
@@ -71,7 +85,7 @@ def shard_by_curve(rows: DataFrame, dims: dict[str, Column], shards: int, bits:
     ``dims`` names the grid coordinates (ints under 2**bits). ``tie`` orders rows of one cell; together they
     should tell rows apart. Only the columns of ``rows`` are sorted and staged, so pass narrow rows and
     join the payload by key when the shards are written. Empty input gives empty output; repeated rows
-    take a slot each.
+    take a slot each. A column of ``rows`` may not be named like one that is added.
     """
     names = list(dims)
     coded = rows.withColumns({f"_d{i}": dims[n] for i, n in enumerate(names)})
@@ -93,18 +107,28 @@ def shard_by_curve(rows: DataFrame, dims: dict[str, Column], shards: int, bits:
     return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_rank") - start).drop("_rank")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, key: list[str], path: str) -> None:
-    """Writes ``docs`` as one folder per shard, rows in slot order, so Parquet's ranges prune along every dimension."""
+def write_shards(docs: DataFrame, placed: DataFrame, key: list[str], path: str, files: int | None = None) -> None:
+    """Writes ``docs`` as one folder per shard, in slot order, so Parquet's ranges prune along every dimension.
+
+    About ``files`` tasks (as many as the session's partitions) write; a shard is cut among several of them, in runs of slots, and its files'
+    names sort like its slots. ``placed`` has a row of (key, shard, slot) for each of ``docs``; rows without one are left out, a repeated
+    key meets every row of it, and null keys are equal.
+    """
     on = common.same(docs, placed, key)
     joined = docs.join(placed.select(*key, "shard", "slot"), on).select(*[docs[c] for c in docs.columns], placed["shard"], placed["slot"])
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    spread = joined.repartitionByRange(files or common.shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
+    spread.write.partitionBy("shard").parquet(path)
 
 
 def op10_hilbert_sharding(spark, sf_dir: str, shards: int = 24) -> DataFrame:
-    """All documents along the curve of language, source and size, cut into 24 runs of equal row counts."""
+    """All documents along the curve of language, source and size, cut into 24 runs of equal row counts.
+
+    A null text has size 8, a null label the lowest coordinate; rows that tie go by checksum, size and id, and repeated rows take a slot each.
+    """
     docs = common.table(spark, sf_dir, "documents")
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    dims = {"lang": category(F.col("lang"), 8), "source": category(F.col("source"), 8), "size": magnitude(F.col("size"), 8)}
+    dims = {"lang": F.col("_cell0"), "source": F.col("_cell1"), "size": magnitude(F.col("size"), 8)}
+    rows = with_cells(rows, ["lang", "source"], 8).drop("lang", "source")
     out = shard_by_curve(rows, dims, shards, tie=["text_crc32", "size", "doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

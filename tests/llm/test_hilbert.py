@@ -4,7 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
-from folioscope.llm import hilbert
+import pyarrow.parquet as pq
+from folioscope.llm import common, hilbert
 from pyspark.sql import functions as F
 
 
@@ -22,8 +23,8 @@ def test_shards(spark, n, shards):
     r = random.Random(16)
     rows = [(i if i % 10 else None, r.choice(["aa", "bb", None]), r.choice([0, 5, 900, 10**9, None])) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, size long")
-    dims = {"lang": hilbert.category(F.col("lang"), 6), "size": hilbert.magnitude(F.col("size"), 6)}
-    out = hilbert.shard_by_curve(df, dims, shards, bits=6).collect()
+    dims = {"lang": F.col("_cell0"), "size": hilbert.magnitude(F.col("size"), 6)}
+    out = hilbert.shard_by_curve(hilbert.with_cells(df, ["lang"], 6), dims, shards, bits=6).collect()
     assert sorted(map(str, ((x.doc_id, x.lang, x.size) for x in out))) == sorted(map(str, rows))
     by = {}
     for x in out:
@@ -48,3 +49,38 @@ def test_query_and_written_shards(spark, tmp_path):
     hilbert.write_shards(docs, placed, ["doc_id"], str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
     assert back.count() == 301 and back.select("shard").distinct().count() == 24
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_cells_rise_with_labels(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    r = random.Random(18)
+    rows = [(i, f"s{r.randrange(1000):04d}" if i % 7 else None, r.choice(["b", "a", None])) for i in range(2000)]
+    got = hilbert.with_cells(spark.createDataFrame(rows, "i long, many string, few string"), ["many", "few"], 4).collect()
+    assert len(got) == 2000
+    for name, cell in (("many", "_cell0"), ("few", "_cell1")):
+        pairs = sorted({(x[name] or "", x[cell]) for x in got})
+        assert [c for _, c in pairs] == sorted(c for _, c in pairs) and pairs[0] == ("", 0) and pairs[1][1] == 1 and len(pairs) == len({x[name] for x in got})
+        assert max(c for _, c in pairs) <= 15 and len({c for _, c in pairs}) == min(16, len(pairs))
+
+
+def test_written_shards_prune_every_dimension(spark, tmp_path):
+    """Files whose footers let a filter skip them, for one language, one source and one range of sizes."""
+    r = random.Random(19)
+    rows = [(i, "x" * r.choice([10, 80, 700, 6000]), r.choice(["de", "en", "es", "fr"]), f"s{r.randrange(8)}", 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("size", F.octet_length("text"))
+    hilbert.write_shards(docs, hilbert.op10_hilbert_sharding(spark, str(tmp_path)).drop("size"), ["doc_id"], str(tmp_path / "shards"), files=48)
+    files = list((tmp_path / "shards").rglob("*.parquet"))
+    assert len(files) >= 48
+
+    def read(column, value):
+        n = 0
+        for f in files:
+            meta = pq.ParquetFile(f)
+            at = meta.schema_arrow.names.index(column)
+            n += any((s := meta.metadata.row_group(k).column(at).statistics).min <= value <= s.max for k in range(meta.metadata.num_row_groups))
+        return n / len(files)
+
+    assert read("lang", "es") < 0.6 and read("source", "s3") < 0.6 and read("size", 6000) < 0.6
