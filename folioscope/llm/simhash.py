@@ -163,10 +163,12 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None
     placed = prints.select("f").mapInArrow(lambda it: _anchor_rows(it, blocks, schema, distance), ddl)
     counted = common.arrow_type("anchor long, n long")
     homes = prints.select("f").mapInArrow(lambda it: _home_counts(it, blocks, counted, distance), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    crowded = homes.where(F.col("n") > hot).select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("shares"))
+    crowded = common.materialize(homes.where(F.col("n") > hot).select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("shares")), "crowded")
+    if crowded.count() <= common.BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
     shares = F.coalesce(F.col("shares"), F.lit(1))
     at_home = F.col("home") & (F.pmod(F.xxhash64("f"), shares) == F.col("share"))
-    spread = placed.join(F.broadcast(crowded), "anchor", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    spread = placed.join(crowded, "anchor", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
     dealt = spread.select("anchor", "share", at_home.alias("home"), "f")
     out = common.arrow_type("a long, b long")
 
