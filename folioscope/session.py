@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -51,6 +52,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Names of Hadoop's file systems that Arrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 _SCRATCH: dict[str, str] = {}
 
 
@@ -67,3 +70,23 @@ def scratch_dir(spark: SparkSession) -> str:
         _SCRATCH[app] = tempfile.mkdtemp(prefix="folioscope-scratch-")
         atexit.register(shutil.rmtree, _SCRATCH[app], ignore_errors=True)
     return "file://" + _SCRATCH[app]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage; the files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(uri: str):
+    """(file system, path in it) for Arrow, by a path or URI; Hadoop's names for object stores are known too."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
