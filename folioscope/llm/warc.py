@@ -21,8 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import file_system
+
 from . import common
 
+#: A task goes on with another archive when one has so many bytes.
+ROLL = 1 << 30
 CHUNK, GZIP = 1 << 18, 31
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,17 +34,11 @@ MANIFEST = "archive string, sidecar string, records long, bytes long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 class _Sink:
     """A file that appears under its name only when complete."""
 
     def __init__(self, uri: str):
-        self.fs, self.path = _fs(uri)
+        self.fs, self.path = file_system(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out, self.size = self.fs.open_output_stream(self.path + ".part", compression=None), 0
 
@@ -143,7 +141,7 @@ class _Inflated:
 
 def normalise_file(source: str, target: str, level: int = 4) -> tuple[str, int, int]:
     """Rewrites one archive; returns its sidecar, records and bytes. Memory holds a piece of a record at a time."""
-    fs, path = _fs(source)
+    fs, path = file_system(source)
     sidecar, out = target + ".idx", _Sink(target)
     index = _Sink(sidecar)
     with fs.open_input_stream(path, compression=None) as stream:
@@ -162,30 +160,40 @@ def normalise_file(source: str, target: str, level: int = 4) -> tuple[str, int,
     return sidecar, n, out.size
 
 
-def write_monolithic(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """Writes (page_id, url, payload, revisit, refers_to) as archives of one gzip stream each; returns the manifest."""
+def write_monolithic(records: DataFrame, folder: str, level: int = 1, roll: int = ROLL) -> DataFrame:
+    """Writes (page_id, url, payload, revisit, refers_to) as archives of one gzip stream each, of about ``roll`` bytes at most; returns the manifest.
+
+    Rows that repeat are records of their own, null ids and URLs have no header, and an empty table gives no archive.
+    """
     schema = common.arrow_type(MANIFEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, sink, n = TaskContext.get(), None, 0
+        t, sink, n, k = TaskContext.get(), None, 0, 0
+
+        def ended() -> pa.RecordBatch:
+            sink.write(z.flush())
+            sink.close()
+            return common.to_batch({"archive": [uri], "sidecar": [None], "records": [n], "bytes": [sink.size]}, schema)
+
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 for page_id, url, payload, revisit, refers in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns)):
                     if sink is None:
-                        uri = f"{folder}/part-{t.partitionId():05d}-{t.taskAttemptId()}.warc.gz"
+                        uri = f"{folder}/part-{t.partitionId():05d}-{k:05d}-{t.taskAttemptId()}.warc.gz"
                         sink, z = _Sink(uri), zlib.compressobj(level, zlib.DEFLATED, GZIP)
                     sink.write(z.compress(record(page_id, url, payload, refers, revisit)))
                     n += 1
+                    if sink.size >= roll:
+                        yield ended()
+                        sink, n, k = None, 0, k + 1
         if sink is not None:
-            sink.write(z.flush())
-            sink.close()
-            yield common.to_batch({"archive": [uri], "sidecar": [None], "records": [n], "bytes": [sink.size]}, schema)
+            yield ended()
 
     common.ship(records.sparkSession)
     return common.materialize(records.select("page_id", "url", "payload", "revisit", "refers_to").mapInArrow(run, MANIFEST), "manifest")
 
 
-def normalise(manifest: DataFrame, folder: str, level: int = 4, drop_source: bool = False) -> DataFrame:
+def normalise(manifest: DataFrame, folder: str, level: int = 4) -> DataFrame:
     """Normalises every archive of ``manifest`` into ``folder``, a task each; returns the new manifest."""
     schema = common.arrow_type(MANIFEST)
 
@@ -197,12 +205,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 4, drop_source: boo
                 yield common.to_batch({"archive": [target], "sidecar": [sidecar], "records": [n], "bytes": [size]}, schema)
 
     spread = manifest.repartition(max(1, manifest.count()))
-    done = common.materialize(spread.mapInArrow(run, MANIFEST), "manifest")
-    if drop_source:  # the rewritten archives are complete and listed
-        for row in manifest.select("archive").toLocalIterator():
-            fs, path = _fs(row.archive)
-            fs.delete_file(path)
-    return done
+    return common.materialize(spread.mapInArrow(run, MANIFEST), "manifest")
 
 
 def index(manifest: DataFrame) -> DataFrame:
@@ -213,7 +216,7 @@ def index(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive, sidecar in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                fs, path = _fs(sidecar)
+                fs, path = file_system(sidecar)
                 with fs.open_input_stream(path, compression=None, buffer_size=CHUNK) as f:
                     rest = b""
                     while data := f.read(CHUNK):
@@ -236,7 +239,7 @@ def read(entries: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = F
                 out: dict[str, list] = {x: [] for x in schema.names}
                 for archive, offset, length in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns[:3])):
                     if archive != name:
-                        fs, path = _fs(archive)
+                        fs, path = file_system(archive)
                         name, f = archive, fs.open_input_file(path)
                     f.seek(offset)
                     row = parse(zlib.decompress(f.read(length), GZIP)) | {"archive": archive, "offset": offset}
@@ -268,13 +271,18 @@ def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def op1_warc_normaliser(spark, sf_dir: str) -> DataFrame:
-    """All pages written to monolithic archives, normalised, and read back through the offset index."""
+    """All pages written to monolithic archives, normalised, and read back through the offset index.
+
+    A null html is an empty payload, rows that repeat are records of their own (``revisits`` says which refer to which), very long
+    payloads pass in pieces, columns besides page_id, url and html are not read, and an empty table gives no rows.
+    """
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     folders = [common.new_path(spark, name) for name in ("warc-monolithic", "warc")]
     whole = write_monolithic(revisits(pages), folders[0])
-    done = normalise(whole, folders[1], drop_source=True)
     for f in folders:
-        common.drop_at_exit(spark, f)
+        common.make(spark, f)
+    done = normalise(whole, folders[1])
+    common.discard(spark, folders[0])  # the rewritten archives are complete and listed
     return read(index(done)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -73,3 +73,11 @@ def test_nothing_and_broken(spark, tmp_path):
 def test_revisits_ignores_other_columns(spark):
     df = spark.createDataFrame(ROWS, "page_id long, url string, payload binary").withColumn("digest", F.lit("clash")).withColumn("n", F.lit(1))
     assert warc.revisits(df.select("page_id", "url", "payload")).count() == len(ROWS)
+
+
+def test_archives_roll_over_by_size(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", b''.join(hashlib.sha512(b'%d %d' % (i, k)).digest() for k in range(40))) for i in range(40)], "page_id long, url string, payload binary").repartition(1)
+    whole = warc.write_monolithic(warc.revisits(pages), f"file://{tmp_path}/rolled", level=1, roll=4_000)
+    rows = whole.collect()
+    assert len(rows) > 2 and sum(r.records for r in rows) == 40 and max(r.bytes for r in rows) < 70_000
+    assert warc.read(warc.index(warc.normalise(whole, f"file://{tmp_path}/again"))).count() == 40
