@@ -3,37 +3,46 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import file_system, ship
 from ..sources import layout
 
 PER_CLUSTER = 16
 
 
+def put(folder: str, name: str, data: bytes) -> None:
+    """Writes a file that is complete, or not there."""
+    system, at = file_system(folder)
+    system.create_dir(at, recursive=True)
+    temporary = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(temporary, compression=None) as f:
+        f.write(data)
+    system.move(temporary, f"{at}/{name}")
+
+
 def write_archives(entries: DataFrame, folder: str) -> DataFrame:
     """Writes (archive, namespace, path, title, redirect_path, data) as one file per archive; returns (archive, entries).
 
     An archive is one file and written by one task, so give archives of bounded size. Clusters of 16 blobs alternate between raw and
-    xz. A redirect names the full path of its target; without one there it is left out. The first content entry is the main page.
+    xz. A redirect names the full path of its target; without one there it points to the id that stands for none. The first content
+    entry is the main page.
     """
     ship(entries.sparkSession)
 
     def one(rows: pd.DataFrame) -> tuple[bytes, int]:
         rows = [r for r in rows.to_dict("records")]
         order = sorted(rows, key=lambda r: (r["namespace"] + "/" + r["path"]).encode())
-        known = {r["namespace"] + "/" + r["path"] for r in order}
-        order = [r for r in order if r["redirect_path"] is None or r["redirect_path"] in known]
         at = {r["namespace"] + "/" + r["path"]: i for i, r in enumerate(order)}
         out, blobs, main = [], [], None
         for i, r in enumerate(order):
             e = {"namespace": r["namespace"], "path": r["path"], "title": r["title"]}
             if r["redirect_path"] is not None:
-                e |= {"type": layout.REDIRECT, "redirect_id": at[r["redirect_path"]]}
+                e |= {"type": layout.REDIRECT, "redirect_id": at.get(r["redirect_path"], layout.NONE32)}
             else:
                 main = i if main is None else main
                 e |= {"type": 0, "cluster_id": len(blobs) // PER_CLUSTER, "blob_id": len(blobs) % PER_CLUSTER}
@@ -45,18 +54,11 @@ def write_archives(entries: DataFrame, folder: str) -> DataFrame:
         return layout.build(out, ["text/html"], clusters, main, str(uuid.uuid5(uuid.NAMESPACE_URL, name))), len(out)
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         held: dict[str, list[pd.DataFrame]] = {}
 
         def flush(name: str) -> pd.DataFrame:
             data, n = one(pd.concat(held.pop(name)))
-            system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-            system.create_dir(at, recursive=True)
-            temporary = f"{at}/.{name}.{uuid.uuid4().hex}"
-            with system.open_output_stream(temporary, compression=None) as f:
-                f.write(data)
-            system.move(temporary, f"{at}/{name}")  # complete, or not there
+            put(folder, name, data)
             return pd.DataFrame({"archive": [name], "entries": [n]})
 
         for p in parts:
@@ -89,8 +91,22 @@ def titles_in_order(titles: DataFrame, entries: DataFrame) -> DataFrame:
     return titles.join(entries.select("archive", "entry_id", "title"), ["archive", "entry_id"]).select("archive", "title_rank", "entry_id", "title")
 
 
+def each_title(titles: DataFrame, call: Callable[[str, int, int], str | None]) -> DataFrame:
+    """(archive, title_rank, entry_id, result): calls ``call(archive, title_rank, entry_id)`` for each title, where the titles are.
+
+    Titles of a partition come in their order; a partition of the ``titles`` section is one range of one archive.
+    """
+    ship(titles.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(result=[call(*row) for row in p.itertuples(index=False, name=None)])
+
+    return titles.select("archive", "title_rank", "entry_id").mapInPandas(run, "archive string, title_rank long, entry_id long, result string")
+
+
 def dangling(entries: DataFrame) -> DataFrame:
-    """Redirects to ids that no entry has, and content entries of no known cluster are left to the caller's anti joins."""
+    """Redirects to ids that no entry has; content entries of no known cluster are left to the caller's anti joins."""
     ids = entries.select("archive", F.col("entry_id").alias("redirect_id"))
     return entries.where("kind = 'redirect'").join(ids, ["archive", "redirect_id"], "left_anti")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import with_rank
 from ..functions.text import html_title, language_segment
+from ..session import staged
 
 CLUSTER = 16
 
@@ -31,13 +32,13 @@ def entries_from_pages(pages: DataFrame, archive: str = "pages", keep_data: bool
 
 
 def entries_from_documents(documents: DataFrame, archive: str = "documents") -> DataFrame:
-    """Plain documents as entries of a second archive: the language is the namespace, the title the first 40 characters."""
+    """Plain documents as entries of a second archive: the language is the namespace, and the whole text stands for the title, so that a search reads all of it."""
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     return documents.select(
         F.lit(archive).alias("archive"),
         F.col("lang").alias("namespace"),
         path.alias("path"),
-        F.substring("text", 1, 40).alias("title"),
+        F.col("text").alias("title"),
         F.lit("content").alias("kind"),
         F.octet_length("text").cast("long").alias("size"),
         F.col("doc_id").alias("page_id"),
@@ -76,8 +77,11 @@ def main_pages(ranked: DataFrame) -> DataFrame:
 
 
 def mime_types(entries: DataFrame, types: DataFrame) -> DataFrame:
-    """Adds mime_type from (archive, mime_idx, mime_type); null for redirects and unknown indexes. The list of types is small by format."""
-    return entries.join(F.broadcast(types), ["archive", "mime_idx"], "left").withColumn("mime_type", F.when(F.col("kind") == "content", F.col("mime_type")))
+    """Adds mime_type from (archive, mime_idx, mime_type); null for redirects and unknown indexes.
+
+    Spark broadcasts the list if it is small enough; an archive's is by its format, that of very many archives may not be.
+    """
+    return entries.join(types, ["archive", "mime_idx"], "left").withColumn("mime_type", F.when(F.col("kind") == "content", F.col("mime_type")))
 
 
 def with_blobs(ranked: DataFrame, per_cluster: int = CLUSTER) -> DataFrame:
@@ -92,15 +96,19 @@ def cluster_sizes(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("archive", "cluster_id").agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes"))
 
 
-def cluster_ranges(sizes: DataFrame) -> DataFrame:
+def cluster_ranges(sizes: DataFrame, run: int = 4096) -> DataFrame:
     """Adds where each cluster starts, and ends: one byte before the next one's start, for the last its own size on.
 
-    Clusters are a sixteenth of the entries and narrow; the running sum goes over an archive's list of them.
+    Clusters lie one behind the other. Starts are summed up within runs of ``run`` ids, and from run to run over a row each.
     """
-    w = Window.partitionBy("archive").orderBy("cluster_id")
-    start = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    starts = sizes.withColumn("start", start)
-    return starts.withColumn("end", (F.coalesce(F.lead("start").over(w), F.col("start") + F.col("bytes")) - 1).cast("long"))
+    rows = sizes.withColumn("_run", F.floor(F.col("cluster_id") / run))
+    runs = rows.groupBy("archive", "_run").agg(F.sum("bytes").alias("_bytes"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select("archive", "_run", F.coalesce(F.sum("_bytes").over(before("archive").orderBy("_run")), F.lit(0)).alias("_carried"))
+    near = F.coalesce(F.sum("bytes").over(before("archive", "_run").orderBy("cluster_id")), F.lit(0))
+    starts = rows.withColumn("_near", near).join(carried, ["archive", "_run"])
+    start = (F.col("_carried") + F.col("_near")).cast("long")
+    return starts.select(*sizes.columns, start.alias("start"), (start + F.col("bytes") - 1).cast("long").alias("end"))
 
 
 def blob_slices(blobs: DataFrame) -> DataFrame:
@@ -131,23 +139,31 @@ def redirect_targets(ranked: DataFrame) -> DataFrame:
     return filled.where("kind = 'redirect'").select("archive", "entry_id", F.coalesce("near", "carried").alias("target_id"))
 
 
-def resolve_redirects(entries: DataFrame, hops: int = 8) -> DataFrame:
-    """(archive, entry_id, final_id, hops): follows (archive, entry_id, kind, redirect_id) to a content entry.
+def resolve_redirects(entries: DataFrame) -> DataFrame:
+    """(archive, entry_id, final_id, hops): follows (archive, entry_id, kind, redirect_id) to a content entry, however long the chain is.
 
-    final_id is null for a dangling target and for chains (or cycles) of more than ``hops``.
+    final_id and hops are null where a chain ends nowhere or runs in a circle. Each round doubles how far every redirect has been
+    followed, so a chain of n takes about log2(n) rounds; what is still on its way after as many rounds as all redirects in one chain
+    would take runs in a circle. A round is staged, and there is only one where redirects lead straight to content.
     """
-    step = entries.select(F.col("archive").alias("_a"), F.col("entry_id").alias("_id"), F.col("kind").alias("_kind"), F.col("redirect_id").alias("_next"))
-    at = entries.where("kind = 'redirect'").select("archive", "entry_id", F.col("redirect_id").alias("at"), F.lit(1).alias("hops"), F.lit(None).cast("long").alias("final_id"))
-    for _ in range(hops):
-        j = at.join(step, (at["archive"] == step["_a"]) & (at["at"] == step["_id"]) & at["final_id"].isNull(), "left")
-        at = j.select(
-            "archive",
-            "entry_id",
-            F.when(F.col("_kind") == "redirect", F.col("_next")).alias("at"),
-            (F.col("hops") + F.when(F.col("_kind") == "redirect", 1).otherwise(0)).alias("hops"),
-            F.coalesce("final_id", F.when(F.col("_kind") == "content", F.col("_id"))).alias("final_id"),
-        )
-    return at.select("archive", "entry_id", "final_id", "hops")
+    kinds = entries.select(F.col("archive").alias("_a"), F.col("entry_id").alias("_id"), F.col("kind").alias("_kind"))
+    first = entries.where("kind = 'redirect'").select("archive", "entry_id", F.col("redirect_id").alias("at"), F.lit(1).cast("long").alias("hops"))
+    joined = first.join(kinds, (F.col("archive") == F.col("_a")) & (F.col("at") == F.col("_id")), "left")
+    # open: the entry reached is a redirect itself
+    reached = staged(joined.select("archive", "entry_id", "at", "hops", F.coalesce(F.col("_kind") == "redirect", F.lit(False)).alias("open"), F.coalesce(F.col("_kind") == "content", F.lit(False)).alias("found")), "redirects")
+    rounds = reached.count().bit_length() + 1
+    while rounds and reached.where("open").limit(1).count():
+        far = reached.select(F.col("archive").alias("_a"), F.col("entry_id").alias("_id"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("open").alias("_open"), F.col("found").alias("_found"))
+        moved = reached.where("open").join(far, (F.col("archive") == F.col("_a")) & (F.col("at") == F.col("_id")))
+        moved = moved.select("archive", "entry_id", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_open").alias("open"), F.col("_found").alias("found"))
+        reached = staged(reached.where("not open").unionByName(moved), "redirects")
+        rounds -= 1
+    return reached.select("archive", "entry_id", F.when(F.col("found"), F.col("at")).alias("final_id"), F.when(F.col("found"), F.col("hops")).alias("hops"))
+
+
+def restricted(entries: DataFrame, to: DataFrame, on: list[str]) -> DataFrame:
+    """The entries that have a row in ``to`` (bookmarks, blobs), each once however many there are."""
+    return entries.join(to.select(*on), on, "left_semi")
 
 
 def redirect_orphans(ranked: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ Log, Info, Warn, Error and Progress.
 
 from __future__ import annotations
 
+import sys
+from typing import TextIO
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +31,22 @@ def enabled(messages: DataFrame, methods: dict[str, bool]) -> DataFrame:
     return messages.where(switch.isin(on) if on else F.lit(False))
 
 
-def with_depth(messages: DataFrame, key: list[str], stretch: int = STRETCH) -> DataFrame:
+def with_depth(messages: DataFrame, key: list[str], stretch: int = STRETCH, offset: int = 0) -> DataFrame:
     """Adds depth: a group is shown before it nests, its end after it unnests; surplus ends leave depth at 0.
 
+    ``offset`` is the depth that a log starts at; a negative one is an error.
+
     The depth after each message is the running sum of steps above its lowest value so far. Both are worked out within
     stretches of a log and carried from one stretch to the next by a row each, so one long log is shared among tasks.
     """
+    if offset < 0:
+        raise ValueError("the offset isn't negative")
     step = F.when(F.col("method") == "Group", 1).when(F.col("method") == "GroupEnd", -1).otherwise(0)
     upto = Window.partitionBy(*key, "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     s = messages.withColumn("_stretch", F.floor(F.col("seq") / stretch)).withColumn("_s", F.sum(step).over(upto)).withColumn("_low", F.min("_s").over(upto))
     ends = s.groupBy(*key, "_stretch").agg(F.max_by("_s", "seq").alias("_sum"), F.min("_low").alias("_least"))
     before = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    ends = ends.withColumn("_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)) + offset)
     ends = ends.withColumn("_floor", F.least(F.lit(0), F.min(F.col("_at") + F.col("_least")).over(before))).select(*key, "_stretch", "_at", "_floor")
     carried = s.join(ends, [*key, "_stretch"])
     after = F.col("_at") + F.col("_s") - F.least(F.coalesce("_floor", F.lit(0)), F.col("_at") + F.col("_low"))
@@ -136,12 +143,26 @@ def lines(messages: DataFrame) -> DataFrame:
     return rows.withColumn("line", F.concat(mark, F.col("_line"))).drop("_line")
 
 
-def rendered(messages: DataFrame, key: list[str]) -> DataFrame:
+def rendered(messages: DataFrame, key: list[str], offset: int = 0) -> DataFrame:
     """(key, seq, line_no, to_errors, shown): every line as a console shows it, indented by its depth; errors go to their own stream."""
-    out = lines(with_depth(messages, key))
+    out = lines(with_depth(messages, key, offset=offset))
     return out.select(*key, "seq", "line_no", (F.col("method") == "Error").alias("to_errors"), F.concat(indent(F.col("depth")), F.col("line")).alias("shown"))
 
 
+def to_console(messages: DataFrame, key: list[str], height: int, offset: int = 0, stdout: TextIO | None = None, stderr: TextIO | None = None) -> int:
+    """Writes the last ``height`` messages of each log as ``rendered``, errors to ``stderr``; returns the number of lines.
+
+    Lines come one partition at a time, in order of key and seq, so the driver holds no more than a partition of them. For a stream,
+    give it as the function of ``foreachBatch``.
+    """
+    shown = rendered(messages, key, offset).join(tail(messages, key, height).select(*key, "seq"), [*key, "seq"], "left_semi")
+    n = 0
+    for r in shown.orderBy(*key, "seq", "line_no").select("to_errors", "shown").toLocalIterator():
+        print(r.shown, file=(stderr or sys.stderr) if r.to_errors else (stdout or sys.stdout))
+        n += 1
+    return n
+
+
 def group_title(value: Column) -> Column:
     """A group's text: its first line."""
     return first_line(value)

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import query_words
+from ..functions import binary, query_words
 from ..functions.text import host
 from ..operators import archive, directory, log, search, suggest
 from ..session import scratch_dir, table
-from ..sources import page_archive
+from ..sources import layout, page_archive
 from ..streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,7 +108,14 @@ def search_bookmarked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.boosted(search.search(e, "the", limit=None), marks).select("full_path", "score", "votes")
 
 
-_DOCS = "SELECT 'documents' AS archive, lang AS namespace, 'doc/' || doc_id AS path, substr(text, 1, 40) AS title, lang || '/doc/' || doc_id AS full_path FROM documents"
+@_register(f"WITH {_PAGES} SELECT full_path, title FROM e WHERE full_path IN (SELECT full_path FROM e WHERE page_id % 10 = 3)")
+def bookmarked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entries(spark, sf_dir)
+    marks = e.where("page_id % 10 = 3")
+    return directory.restricted(e, marks.unionByName(marks), ["archive", "full_path"]).select("full_path", "title")
+
+
+_DOCS = "SELECT 'documents' AS archive, lang AS namespace, 'doc/' || doc_id AS path, text AS title, lang || '/doc/' || doc_id AS full_path FROM documents"
 
 
 @_register(f"WITH {_PAGES}, a AS (SELECT archive, namespace, path, title, full_path FROM e UNION ALL {_DOCS}) SELECT archive, full_path, {_points('the')} AS score FROM a WHERE {_found('the')} ORDER BY score DESC, full_path, archive LIMIT 50")
@@ -233,6 +240,21 @@ def entry_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory.described(directory.with_blobs(_ranked(spark, sf_dir))).select("entry_id", "description")
 
 
+_HEX = "hex(encode(html))"
+
+
+@_register(rf"""SELECT page_id, CAST('0x' || substr({_HEX}, 7, 2) || substr({_HEX}, 5, 2) || substr({_HEX}, 3, 2) || substr({_HEX}, 1, 2) AS BIGINT) AS first_number,
+  lower(substr({_HEX}, 17, 8) || '-' || substr({_HEX}, 25, 4) || '-' || substr({_HEX}, 29, 4) || '-' || substr({_HEX}, 33, 4) || '-' || substr({_HEX}, 37, 12)) AS uuid,
+  list_filter(string_split(url, '/'), lambda x: x <> '')[1] AS first_name, url AS trimmed FROM pages""")
+def binary_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Little-endian numbers, UUIDs, NUL-separated names and NUL-trimmed text, of bytes made from pages."""
+    data = F.encode("html", "UTF-8")
+    names = binary.nul_list(F.encode(F.regexp_replace("url", "/+", "\u0000"), "UTF-8"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", binary.unsigned(data, 0, 4).alias("first_number"), binary.uuid_text(data).alias("uuid"), F.element_at(names, 1).alias("first_name"), binary.trim_nul(F.concat("url", F.lit("\u0000\u0000"))).alias("trimmed")
+    )
+
+
 # --- message log over events ------------------------------------------------------------------------------------------
 
 _KEY = ["user_id"]
@@ -249,9 +271,9 @@ m AS (
 """
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the message logs of their users."""
-    e, k = table(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("long")
+def _messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events (of the table, or of a stream) as the message logs of their users."""
+    e, k = events if events is not None else table(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("long")
     kind = F.col("event_type")
     text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
     progress = F.when(k % 5 == 0, text("Parsing ", k, " of 99 items")).when(k % 5 == 1, "Parsing items").when(k % 5 == 2, text("Export ", k)).when(k % 5 == 3, text("Parsing (", k, " of 99) rows")).otherwise("Done")
@@ -270,6 +292,12 @@ def log_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.with_depth(_messages(spark, sf_dir), _KEY).select("user_id", "seq", "depth")
 
 
+@_register(f"""WITH {_DEPTH}, o AS (SELECT *, s + 2 - least(0, 2 + min(s) OVER (PARTITION BY user_id ORDER BY seq)) AS deeper FROM s)
+SELECT user_id, seq, CAST(deeper - (CASE WHEN method = 'Group' THEN 1 ELSE 0 END) AS BIGINT) AS depth FROM o""")
+def log_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.with_depth(_messages(spark, sf_dir), _KEY, offset=2).select("user_id", "seq", "depth")
+
+
 _WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
 _BEFORE = "array_to_string({0}[1:list_position({0}, 'of') - 2], ' ')"
 _AFTER = "array_to_string({0}[list_position({0}, 'of') + 2:], ' ')"
@@ -337,25 +365,30 @@ def log_disabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.enabled(_messages(spark, sf_dir), switches).select("user_id", "seq", "method")
 
 
-# --- archives: pages written as files of up to 4096 entries and read back ----------------------------------------------
+# --- archives: pages written as files of up to 100 entries and read back -----------------------------------------------
 
-_CHUNK = 4096
+_CHUNK = 100
 _ARCHIVES = _RANKED + f""", h AS (SELECT entry_id AS rank, printf('pages-%06d', entry_id // {_CHUNK}) AS archive, kind, left(namespace || 'x', 1) || '/' || path AS full_path, path, title, html FROM r),
-g AS (SELECT *, last_value(CASE WHEN kind = 'content' THEN full_path END IGNORE NULLS) OVER (PARTITION BY archive ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target FROM h),
+g AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'content' THEN full_path END IGNORE NULLS) OVER (PARTITION BY archive ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  first_value(CASE WHEN kind = 'content' THEN full_path END IGNORE NULLS) OVER (PARTITION BY archive ORDER BY rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS target FROM h),
 w AS (SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY full_path) - 1 AS entry_id, kind, full_path, path, title, target, html,
-  count(*) FILTER (WHERE kind = 'content') OVER (PARTITION BY archive ORDER BY full_path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS nth FROM g WHERE kind = 'content' OR target IS NOT NULL)
+  count(*) FILTER (WHERE kind = 'content') OVER (PARTITION BY archive ORDER BY full_path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS nth FROM g)
 """
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    """Writes pages as archives into a new folder. A namespace is one letter in an archive; its first stands here."""
+    """Writes pages as archives into a new folder. A namespace is one letter in an archive; its first stands here.
+
+    A redirect points to the last content entry before it in its archive, else to the first after it, else to none.
+    """
     from pyspark.sql import Window
 
     r = _ranked(spark, sf_dir, keep_data=True).withColumn("archive", F.format_string("pages-%06d", F.floor(F.col("entry_id") / _CHUNK)))
-    w = Window.partitionBy("archive").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("target", F.last(F.when(F.col("kind") == "content", F.struct("namespace", "path")), ignorenulls=True).over(w)).where("kind = 'content' or target is not null")
+    w, content = Window.partitionBy("archive").orderBy("entry_id"), F.when(F.col("kind") == "content", F.struct("namespace", "path"))
+    before, after = F.last(content, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(content, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    r = r.withColumn("target", F.coalesce(before, after))
     letter = lambda ns: F.substring(F.concat(ns, F.lit("x")), 1, 1)
-    target = F.when(F.col("kind") == "redirect", F.concat(letter(F.col("target.namespace")), F.lit("/"), F.col("target.path")))
+    target = F.when(F.col("kind") == "redirect", F.coalesce(F.concat(letter(F.col("target.namespace")), F.lit("/"), F.col("target.path")), F.lit("")))
     rows = r.select("archive", letter(F.col("namespace")).alias("namespace"), "path", "title", target.alias("redirect_path"), F.encode("data", "UTF-8").alias("data"))
     folder = f"{scratch_dir(spark)}/archives-{uuid.uuid4().hex[:12]}"
     archive.write_archives(rows, folder).write.format("noop").mode("overwrite").save()
@@ -403,7 +436,7 @@ def archive_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_archive.section(spark, folder, "clusters").join(blobs, ["archive", "cluster_id"]).select("archive", "cluster_id", "compression", "blobs")
 
 
-@_register(f"WITH {_ARCHIVES} SELECT r.archive, r.entry_id, t.entry_id AS final_id FROM w r JOIN w t ON r.archive = t.archive AND r.target = t.full_path WHERE r.kind = 'redirect'")
+@_register(f"WITH {_ARCHIVES} SELECT r.archive, r.entry_id, t.entry_id AS final_id FROM w r LEFT JOIN w t ON r.archive = t.archive AND r.target = t.full_path WHERE r.kind = 'redirect'")
 def archive_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = page_archive.section(spark, _written(spark, sf_dir), "entries")
     return directory.resolve_redirects(e).select("archive", "entry_id", "final_id")
@@ -415,6 +448,57 @@ def archive_main_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.main_page(page_archive.section(spark, folder, "header"), page_archive.section(spark, folder, "entries"))
 
 
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(archive))"
+
+
+@_register(f"""WITH {_ARCHIVES}, n AS (SELECT DISTINCT archive, {_SHA} AS s FROM w)
+SELECT archive, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', s[17:17]), 1) || s[18:20] || '-' || s[21:32] AS uuid FROM n""")
+def archive_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_archive.section(spark, _written(spark, sf_dir), "header").select("archive", "uuid")
+
+
+@_register(f"WITH {_ARCHIVES} SELECT archive, entry_id, full_path, true AS same_offset FROM w")
+def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _written(spark, sf_dir)
+    paths = page_archive.section(spark, folder, "paths").withColumnRenamed("offset", "listed")
+    return paths.join(page_archive.section(spark, folder, "entries"), ["archive", "entry_id"]).select("archive", "entry_id", "full_path", (F.col("listed") == F.col("offset")).alias("same_offset"))
+
+
+@_register(f"WITH {_ARCHIVES} SELECT archive, entry_id, kind, title FROM w WHERE full_path = 'e/https://therin.example.net/en/770#top'")
+def archive_exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = page_archive.section(spark, _written(spark, sf_dir), "entries")
+    return directory.lookup(e, "e/https://therin.example.net/en/770#top").select("archive", "entry_id", "kind", "title")
+
+
+@_register(f"WITH {_ARCHIVES} SELECT archive, entry_id, coalesce(nullif(title, ''), path) AS display_title FROM w")
+def archive_display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.with_display_title(page_archive.section(spark, _written(spark, sf_dir), "entries")).select("archive", "entry_id", "display_title")
+
+
+@_register(f"WITH {_ARCHIVES} SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY title, entry_id) - 1 AS title_rank, entry_id, archive || ' ' || entry_id AS result FROM w")
+def archive_each_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.each_title(page_archive.section(spark, _written(spark, sf_dir), "titles"), lambda name, rank, entry: f"{name} {entry}")
+
+
+@_register(f"WITH {_ARCHIVES} SELECT archive, entry_id, full_path FROM w WHERE kind = 'content'")
+def archive_entries_with_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _written(spark, sf_dir)
+    found = directory.restricted(page_archive.section(spark, folder, "entries"), page_archive.section(spark, folder, "blobs"), ["archive", "cluster_id", "blob_id"])
+    return found.select("archive", "entry_id", "full_path")
+
+
+@_register("""SELECT 'a-good' AS archive, CAST(1 AS BIGINT) AS entry_count, CAST(NULL AS VARCHAR) AS error UNION ALL SELECT 'b-magic', NULL, 'this is no page archive'
+UNION ALL SELECT 'c-version', NULL, 'version 6 is not supported' UNION ALL SELECT 'd-cut', NULL, '80 bytes at 0 go past the end'""")
+def archive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that can't be read give a row with the reason, and the others are read."""
+    folder = f"{scratch_dir(spark)}/archives-{uuid.uuid4().hex[:12]}"
+    entry = {"type": 0, "namespace": "A", "path": "p", "title": "t", "cluster_id": 0, "blob_id": 0}
+    build = lambda **x: layout.build([entry], ["text/html"], [layout.pack_cluster([b"x"], 1)], **x)
+    for name, data in {"a-good": build(), "b-magic": b"?" + build()[1:], "c-version": build(major=6), "d-cut": build()[:50]}.items():
+        archive.put(folder, name, data)
+    return page_archive.section(spark, folder, "header").select("archive", "entry_count", "error")
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
@@ -431,3 +515,17 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.drain(streams.sessions(streams.stream(spark, f"{sf_dir}/events.parquet")), "sessions")
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return out.select("user_id", ntz("session_start"), ntz("session_end"), "events")
+
+
+@_register("SELECT event_id, user_id, event_type FROM events")
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice and is passed on once."""
+    one = lambda: streams.stream(spark, f"{sf_dir}/events.parquet")
+    return streams.drain(streams.deduplicated(one().union(one())), "distinct", "append").select("event_id", "user_id", "event_type")
+
+
+@_register(f"WITH {_NEXT} SELECT user_id AS log, seq, method, value FROM x WHERE n_method IS NOT NULL AND NOT coalesce(n_method = 'Progress' AND ({_SAME}), false)")
+def stream_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collapsed logs without their last message, which the stream still holds open."""
+    m = _messages(spark, sf_dir, streams.stream(spark, f"{sf_dir}/events.parquet")).withColumnRenamed("user_id", "log")
+    return streams.drain(streams.collapsed_stream(m), "collapse", "append")

@@ -41,9 +41,9 @@ def open_uri(path: str):
     """A seekable binary file, by path or URI."""
     if "://" not in path:
         return open(path, "rb")
-    from pyarrow import fs
+    from ..session import file_system
 
-    system, at = fs.FileSystem.from_uri(path)
+    system, at = file_system(path)
     return system.open_input_file(at)
 
 

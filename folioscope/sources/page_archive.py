@@ -47,7 +47,9 @@ def _files(path: str) -> list[str]:
     if "://" in path:
         from pyarrow import fs
 
-        system, at = fs.FileSystem.from_uri(path)
+        from ..session import file_system
+
+        system, at = file_system(path)
         info = system.get_file_info(at)
         root = path[: len(path) - len(at)]
         if info.type == fs.FileType.Directory:
@@ -167,18 +169,23 @@ class Reader(DataSourceReader):
             except (layout.ArchiveError, OSError) as e:
                 yield (i, offset) + (None,) * 10 + (self._fail(e),)
 
-    def _spans(self, f, part: Range) -> Iterator[tuple[int, int, int]]:
+    def _spans(self, f, part: Range, exact: bool) -> Iterator[tuple[int, int, int]]:
+        """(id, start, end) of the range's clusters. Unless ``exact``, only the range's own pointers and the next one are read, if they
+        rise: where the list as a whole doesn't, an end may then lie behind another cluster, which does no harm to blobs."""
         h = layout.header(f)
-        starts = layout.pointers(f, h.cluster_pos, 0, h.cluster_count, 8)
-        mine = starts[part.first : part.last]
+        upto = min(part.last + 1, h.cluster_count)
+        near = layout.pointers(f, h.cluster_pos, part.first, upto - part.first, 8)
+        mine = near[: part.last - part.first]
+        rising = all(a < b for a, b in zip(near, [*near[1:], h.checksum_pos]))
+        starts = near if rising and not exact else layout.pointers(f, h.cluster_pos, 0, h.cluster_count, 8)
         yield from zip(range(part.first, part.last), mine, layout.cluster_ends(mine, starts, h))
 
     def _clusters(self, f, part: Range) -> Iterator[tuple]:
-        for i, start, end in self._spans(f, part):
+        for i, start, end in self._spans(f, part, True):
             yield (i, start, end, layout.read_at(f, start, 1)[0])
 
     def _blobs(self, f, part: Range) -> Iterator[tuple]:
-        for i, start, end in self._spans(f, part):
+        for i, start, end in self._spans(f, part, False):
             kind = None
             try:
                 data = layout.read_at(f, start, end - start + 1)

@@ -99,3 +99,17 @@ def test_the_repeat_rule_has_a_direction():
     assert same_message("Progress", "Parsing 1 of 5 Incidents", "Progress", "Parsing Incidents")
     assert not same_message("Progress", "Parsing Incidents", "Progress", "Parsing 1 of 5 Incidents")
     assert same_message("Log", "x", "Log", "x") and not same_message("Log", "Export a", "Log", "Export b")
+
+
+def test_offset_and_console(spark):
+    import io
+
+    rows = [(1, 0, "Group", "g"), (1, 1, "Log", "a\n>b"), (1, 2, "GroupEnd", "g"), (1, 3, "GroupEnd", "g"), (1, 4, "GroupEnd", "g"), (1, 5, "Error", "bad"), (2, 0, "Log", "z")]
+    df = spark.createDataFrame(rows, "user long, seq long, method string, value string")
+    depths = {(r.user, r.seq): r.depth for r in log.with_depth(df, ["user"], stretch=2, offset=1).collect()}
+    assert depths == {(1, 0): 1, (1, 1): 2, (1, 2): 1, (1, 3): 0, (1, 4): 0, (1, 5): 0, (2, 0): 1}
+    with pytest.raises(ValueError):
+        log.with_depth(df, ["user"], offset=-1)
+    out, err = io.StringIO(), io.StringIO()
+    assert log.to_console(df, ["user"], 5, 1, out, err) == 7
+    assert err.getvalue() == " bad\n" and out.getvalue() == "|| a\n||->b\n| g\n g\n g\n| z\n"
