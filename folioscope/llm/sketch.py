@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,18 +132,22 @@ def from_text(text: str) -> Sketch:
     return Sketch(int(a[0]), int(a[1]), a[2:])
 
 
-def cuts(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Up to ``parts`` - 1 rising values that cut ``key`` into ranges of similar row counts (from a quantile sketch of all rows)."""
-    found = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    return sorted({int(x) for x in found})
+def cuts(df: DataFrame, key: str, parts: int) -> list[tuple[int, int]]:
+    """Up to ``parts`` - 1 rising (key, hash) that cut the rows into ranges of similar counts, from a quantile sketch of all rows.
+
+    A key that takes several quantiles is cut further, by the hash of its rows' texts.
+    """
+    found = Counter(int(x) for x in df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts)) if parts > 1 else {}
+    return [(k, -(2**63) + 2**64 * j // n) for k, n in sorted(found.items()) for j in range(n)]
 
 
-def range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of ``bounds`` are at or below ``key``: a binary search in the plan, not a UDF."""
-    depth = max(1, len(bounds).bit_length())
-    padded = F.array(*[F.lit(x).cast("long") for x in [-(2**63), *bounds]])
+def range_of(key: Column, h: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many of ``bounds`` are at or below (key, h): a binary search in the plan, not a UDF."""
     n = len(bounds)
-    step = lambda lo, i: F.when((lo + i <= n) & (key >= F.element_at(padded, F.least(lo + i, F.lit(n)) + 1)), lo + i).otherwise(lo)
+    depth = max(1, n.bit_length())
+    pair = lambda k, x: F.struct(k.cast("long").alias("k"), x.cast("long").alias("h"))
+    padded, own = F.array(*[pair(F.lit(k), F.lit(x)) for k, x in [(-(2**63), -(2**63)), *bounds]]), pair(key, h)
+    step = lambda lo, i: F.when((lo + i <= n) & (own >= F.element_at(padded, F.least(lo + i, F.lit(n)) + 1)), lo + i).otherwise(lo)
     return F.aggregate(F.array(*[F.lit(1 << b) for b in range(depth - 1, -1, -1)]), F.lit(0), step)
 
 
@@ -151,27 +156,28 @@ def beside_next(docs: DataFrame, key: str, text: str, parts: int | None = None)
 
     Columns: part, extra, key, text. In a partition sorted by (part, extra, key) every row but the extra ones is
     followed by the next document of the whole table; the last document's next is the first. Nulls come first, rows
-    that share a key go by a hash of the text. The texts are shuffled once; only range limits, two numbers per
-    range, pass through the driver.
+    that share a key go by a hash of the text, and very many of them are cut into ranges by it too. The texts are shuffled once;
+    only range limits, a few numbers per range, pass through the driver.
     """
     spark = docs.sparkSession
     parts = parts or common.shuffle_partitions(spark)
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
-    bounds = cuts(docs.select(F.col(key).cast("long").alias(key)), key, parts)
-    placed = rows.withColumn("_part", range_of(F.col("_k"), bounds))
-    firsts = sorted((r._part, r.k) for r in placed.groupBy("_part").agg(F.min("_k").alias("k")).collect())  # one row per range
+    bounds = cuts(rows.select("_k"), "_k", parts)
+    placed = rows.withColumn("_h", F.xxhash64(text)).withColumn("_part", range_of(F.col("_k"), F.col("_h"), bounds))
+    firsts = sorted((r._part, (r.first.k, r.first.h)) for r in placed.groupBy("_part").agg(F.min(F.struct(F.col("_k").alias("k"), F.col("_h").alias("h"))).alias("first")).collect())  # one row per range
     if not firsts:
         return placed.select(F.col("_part").alias("part"), F.lit(False).alias("extra"), key, text)
-    first = {p: k for p, k in firsts}
+    first = dict(firsts)
     before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}
     top = max(first) + 1
-    first_of = F.array(*[F.lit(first.get(p)).cast("long") for p in range(top)])
+    first_of = [F.array(*[F.lit(first.get(p, (None, None))[i]).cast("long") for p in range(top)]) for i in (0, 1)]
     before_of = F.array(*[F.lit(before.get(p)).cast("int") for p in range(top)])
     at = F.col("_part") + 1
     own = F.struct(F.col("_part").alias("part"), F.lit(False).alias("extra"))
     copy = F.struct(F.element_at(before_of, at).alias("part"), F.lit(True).alias("extra"))
-    to = F.when(F.col("_k") == F.element_at(first_of, at), F.array(own, copy)).otherwise(F.array(own))
-    spread = placed.withColumn("_h", F.xxhash64(text)).select("*", F.explode(to).alias("_to")).select("_to.part", "_to.extra", "_k", "_h", key, text)
+    is_first = (F.col("_k") == F.element_at(first_of[0], at)) & (F.col("_h") == F.element_at(first_of[1], at))
+    to = F.when(is_first, F.array(own, copy)).otherwise(F.array(own))
+    spread = placed.select("*", F.explode(to).alias("_to")).select("_to.part", "_to.extra", "_k", "_h", key, text)
     return spread.repartitionById(parts, "part").sortWithinPartitions("part", "extra", "_k", "_h").select("part", "extra", key, text)
 
 

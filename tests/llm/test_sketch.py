@@ -96,3 +96,19 @@ def test_containment_between_very_unequal_documents():
     assert abs(sketch.containment(large, small) - 2000 / 50_000) < 0.02
     none = sketch.sketch(np.array([TOP], np.uint64))
     assert not len(none.kept) and sketch.resemblance(none, none) == 1 and sketch.resemblance(none, sketch.sketch(a[:0])) == 0
+
+
+def test_a_key_that_many_rows_share_is_cut(spark):
+    rows = [(7 if i % 3 else i, f"text {i} of many") for i in range(900)] + [(None, f"null {i}") for i in range(300)] + [(7, "same")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed = sketch.beside_next(df, "doc_id", "text", 16).where("not extra")
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 10 and max(sizes) < len(rows) / 4
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.edited_sha256) for r in sketch.edited_likeness(df).collect())
+    h = {t: x for t, x in df.selectExpr("text", "xxhash64(text) x").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    want = []
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 2
+        want.append(((d is not None, d or 0), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
+    assert got == sorted(want)
