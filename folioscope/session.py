@@ -40,7 +40,9 @@ def ship(spark: SparkSession) -> None:
     if any(name in str(x) for x in sc._python_includes):
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="folioscope-"), name)
+    folder = tempfile.mkdtemp(prefix="folioscope-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, name)
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
