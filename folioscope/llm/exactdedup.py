@@ -29,8 +29,10 @@ from .suffixes import repeated_starts
 LENGTH, GRAM = 400, 128
 #: Passages of over 50 words are told by windows of so many, and their anchors by so many words of a window.
 PASSAGE, WORD_GRAM = 51, 8
-#: Groups of more anchors than this are counted by the digests of their strings, without bringing them together.
-HOT = 150_000
+#: Groups of more contexts than this are split by more of the bytes around the anchor: the starts go in so many ranges, and the strings of a
+#: range that are brought together agree in all but a few bytes. Where even those are more, they are copies for the most part, and are
+#: counted by digests of whole strings without being brought together.
+HOT, RANGES = 150_000, 8
 #: Bytes hashed at a time, and contexts sorted at a time.
 SEGMENT, ITEMS = 1 << 20, 16_384
 #: Low bits of a hash that give way to its place when the least is chosen: a batch of texts is shorter than 2**TIES. They are as
@@ -233,7 +235,21 @@ def _windows(texts: list[bytes], listed: list[list], words: int) -> Iterator[tup
             yield i, x["g"], int(lo - first[i]), h[lo:hi]
 
 
-def _cut_contexts(joined: DataFrame, kind: str, length: int, words: int) -> DataFrame:
+def _ranged(t: bytes, g: int, a: int, low: int, top: int, length: int, gram: int, ranges: int) -> Iterator[tuple]:
+    """(g, anchor, low, context) of the strings that start ``low`` to ``top`` bytes before the anchor at a, apart by range.
+
+    The g of a range is a hash of what all strings from it share: the bytes around the anchor that even its outermost ones reach.
+    """
+    for k in range(ranges):
+        first, last = (i * (length - gram + 1) // ranges for i in (k, k + 1))
+        lo, hi = max(low, first), min(top, last - 1)
+        if lo <= hi:
+            shared = b"%d %d " % (g, k) + t[a - first : a] + t[a + gram : a + length - last + 1]
+            key = int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True)
+            yield key, hi, lo, t[a - hi : a - lo + length]
+
+
+def _cut_contexts(joined: DataFrame, kind: str, length: int, gram: int, words: int, ranges: int = 1) -> DataFrame:
     """The bytes around each listed anchor, once per text where they repeat in it; for word anchors (anchor -1) the hashes of windows from word ``at`` on.
 
     ``row`` tells the input rows apart; it is only compared with others of one partition of pieces.
@@ -252,7 +268,10 @@ def _cut_contexts(joined: DataFrame, kind: str, length: int, words: int) -> Data
                     found: dict[tuple, list[int]] = {}
                     for x in listed:
                         a, first, last = x["a"], x["first"], x["last"]
-                        if a >= 0:
+                        if a >= 0 and ranges > 1:
+                            for item in _ranged(t, x["g"], a, a - last, a - first, length, gram, ranges):
+                                found.setdefault(item, []).append(a)
+                        elif a >= 0:
                             found.setdefault((x["g"], a - first, a - last, t[first : last + length]), []).append(a)
                     for (g, anchor, low, context), at in found.items():
                         for name, v in zip(schema.names, (g, i, th, row + k, anchor, low, sorted(set(at)), context)):
@@ -352,31 +371,27 @@ def _mark(contexts: DataFrame, kind: str, length: int, gram: int, words: int) ->
     return contexts.mapInArrow(run, ddl)
 
 
-def _mark_hot(joined: DataFrame, kind: str, length: int, words: int) -> DataFrame:
-    """The same for pieces of very many anchors: equal strings are counted by a 128-bit digest, combined before the shuffle; windows of words by the hashes of window and piece."""
+def _mark_hot(contexts: DataFrame, kind: str, length: int, words: int) -> DataFrame:
+    """The same for very many contexts: equal strings are counted by a 128-bit digest, combined before the shuffle; windows of words by the hashes of window and piece."""
     ddl = f"h1 long, h2 long, id {kind}, th long, row long, start long, end long, words boolean"
     schema = common.arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            for lo in range(0, b.num_rows, 16):
-                for i, th, text, listed in zip(*(c.to_pylist() for c in b.slice(lo, 16).columns[:4])):
-                    row += 1
-                    t = text.encode()
-                    at = np.array(sorted({s for x in listed if x["a"] >= 0 for s in range(x["first"], x["last"] + 1)}), np.int64)
-                    raw = np.frombuffer(b"".join(hashlib.blake2b(t[s : s + length], digest_size=16).digest() for s in at.tolist()), "<i8").reshape(-1, 2)
-                    found = [(raw[:, 0].copy(), raw[:, 1].copy(), at, at + length, False)]
-                    of_words = [x for x in listed if x["a"] < 0]
-                    for _, g, first, h in _windows([t], [of_words], words) if of_words else ():
-                        s = first + np.arange(len(h))
-                        found.append((h.view(np.int64).copy(), np.full(len(h), g), s, s + words, True))
-                    for h1, h2, s, e, kind_ in found:
-                        n = len(s)
-                        ids = pa.array([i] * n, schema.field(2).type)
-                        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids, *(pa.array([v] * n, pa.int64()) for v in (th, row)), pa.array(s), pa.array(e), pa.array([kind_] * n)], schema=schema)
-
-    starts = common.materialize(joined.mapInArrow(run, ddl), "starts")
+            for lo in range(0, b.num_rows, 256):
+                for g, i, th, row, anchor, low, at, context in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns)):
+                    if anchor < 0:
+                        h1 = np.frombuffer(context, np.int64)
+                        h2, s, size = np.full(len(h1), g), at[0] + np.arange(len(h1)), words
+                    else:
+                        x = np.arange(low, anchor + 1)
+                        raw = np.frombuffer(b"".join(hashlib.blake2b(context[anchor - k : anchor - k + length], digest_size=16).digest() for k in x.tolist()), "<i8").reshape(-1, 2)
+                        h1, h2 = (np.tile(raw[:, k], len(at)) for k in (0, 1))
+                        s, size = (np.array(at)[:, None] - x).ravel(), length
+                    n = len(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([i] * n, schema.field(2).type), *(pa.array([v] * n, pa.int64()) for v in (th, row)), pa.array(s), pa.array(s + size), pa.array([anchor < 0] * n)], schema=schema)
+
+    starts = common.materialize(contexts.mapInArrow(run, ddl), "starts")
     again = starts.groupBy("h1", "h2", "words").agg(F.count("*").alias("n"), (F.min("row") < F.max("row")).alias("rows")).where("if(words, rows, n > 1)").drop("n", "rows")
     return starts.join(again, ["h1", "h2", "words"]).select("id", "th", "start", "end", "words")
 
@@ -404,11 +419,17 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
         on = (F.col("id") == F.col("_id")) & (F.col("th") == F.col("_th"))
         return spread.join(one.hint("shuffle_hash"), on).select("id", "th", "text", "listed", *keyed.columns[3:])
 
-    few = _cut_contexts(beside(chosen.where(F.col("n") <= hot)), kind, length, words)
+    few, over = _cut_contexts(beside(chosen.where(F.col("n") <= hot)), kind, length, gram, words), None
+    if chosen.where(F.col("n") > hot).limit(1).count():
+        split = common.materialize(_cut_contexts(beside(chosen.where(F.col("n") > hot)), kind, length, gram, words, RANGES), "split")
+        sizes = common.materialize(split.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("g"), "hot")
+        if sizes.count() <= common.BROADCAST_ROWS:
+            sizes = F.broadcast(sizes)
+        few, over = few.union(split.join(sizes, "g", "left_anti").select(few.columns)), split.join(sizes, "g", "left_semi").select(few.columns)
     contexts = few.repartition(common.shuffle_partitions(spark), "g").sortWithinPartitions("g")
     spans = _mark(contexts.select("g", "id", "th", "row", "anchor", "low", "at", "context"), kind, length, gram, words)
-    if chosen.where(F.col("n") > hot).limit(1).count():
-        spans = spans.union(_mark_hot(beside(chosen.where(F.col("n") > hot)), kind, length, words))
+    if over is not None:
+        spans = spans.union(_mark_hot(over, kind, length, words))
     return spread, spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end", "words")).alias("spans"))
 
 

@@ -41,7 +41,7 @@ def corpus(seed, length):
     return docs
 
 
-@pytest.mark.parametrize("length,gram,hot", [(60, 20, 10**6), (60, 20, 3), (400, 128, 10**6)])
+@pytest.mark.parametrize("length,gram,hot", [(60, 20, 10**6), (60, 20, 3), (60, 20, 12), (400, 128, 10**6), (400, 128, 0)])
 def test_documents(spark, length, gram, hot):
     texts = corpus(length + hot, length)
     rows = [(i if i % 9 else None, t, "clash", 0) for i, t in enumerate(texts)] + [(5, texts[5], "clash", 0)]
