@@ -38,3 +38,19 @@ def holds(text: Column, term: str) -> Column:
 
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
+
+
+def port(text: Column) -> Column:
+    """A port number from decimal digits, null unless it is one of 1 to 65534."""
+    n = F.when(F.rlike(text, F.lit("^[0-9]+$")), F.try_to_number(F.right(text, F.lit(18)), F.lit("999999999999999999")).cast("long"))
+    return F.when((F.length(text) <= 18) & n.between(1, 65534), n)
+
+
+def settings(json: Column) -> Column:
+    """A JSON object of plain values as a map from names to texts; null if it is none."""
+    return F.from_json(json, "map<string,string>")
+
+
+def setting(values: Column, name: str, default: str) -> Column:
+    """A name's value, or ``default`` where the name isn't there; null where it is there without a value."""
+    return F.when(F.map_contains_key(values, name), F.element_at(values, F.lit(name))).otherwise(F.lit(default))

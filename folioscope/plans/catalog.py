@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary, query_words
-from ..functions.text import host
+from ..functions.text import host, port, setting, settings
 from ..operators import archive, directory, log, search, suggest
 from ..session import scratch_dir, table
 from ..sources import layout, page_archive
@@ -298,6 +298,17 @@ def log_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.with_depth(_messages(spark, sf_dir), _KEY, offset=2).select("user_id", "seq", "depth")
 
 
+_K = "json_extract_string(props, '$.k')"
+
+
+@_register(f"""SELECT event_id, {_K} AS k, 'none' AS z, CASE WHEN TRY_CAST({_K} || '00' AS BIGINT) BETWEEN 1 AND 65534 THEN TRY_CAST({_K} || '00' AS BIGINT) END AS port,
+  '{{"event_type":"' || event_type || '","user_id":' || user_id || '}}' AS written FROM events""")
+def event_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects read as maps, looked up with and without presence, parsed as ports, and written again."""
+    e = table(spark, sf_dir, "events").withColumn("m", settings(F.col("props")))
+    return e.select("event_id", setting(F.col("m"), "k", "").alias("k"), setting(F.col("m"), "z", "none").alias("z"), port(F.concat(setting(F.col("m"), "k", ""), F.lit("00"))).alias("port"), F.to_json(F.struct("event_type", "user_id")).alias("written"))
+
+
 _WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
 _BEFORE = "array_to_string({0}[1:list_position({0}, 'of') - 2], ' ')"
 _AFTER = "array_to_string({0}[list_position({0}, 'of') + 2:], ' ')"

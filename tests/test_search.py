@@ -68,3 +68,13 @@ def test_ranks(spark, parts):
     for g in ("a0", "a1"):
         order = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
         assert [got[i] for _, _, i in order] == list(range(len(order)))
+
+
+def test_ports_and_settings(spark):
+    rows = [(x,) for x in ("1", "65534", "65535", "0", "080", "-1", "1.5", "", " 80", "9" * 30, None)]
+    got = [r.p for r in spark.createDataFrame(rows, "x string").select(text.port(F.col("x")).alias("p")).collect()]
+    assert got == [1, 65534, None, None, 80] + [None] * 6
+    rows = [('{"a": "x", "b": 2, "c": null}',), ("{}",), ("nothing",), (None,)]
+    m = text.settings(F.col("j"))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "j string").select(*[text.setting(m, k, "-") for k in "abcd"]).collect()]
+    assert got == [("x", "2", None, "-"), *[("-",) * 4] * 3]
