@@ -522,6 +522,8 @@ def digests(marked: DataFrame) -> DataFrame:
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents without the bytes that strings of 400 bytes found elsewhere cover.
 
+    A null text is empty, null ids are ids, rows that repeat count each as a document, other columns are not read, and an empty table
+    gives no rows.
     n_passages and n_passage_bytes tell besides what passages of over 50 words that other documents have too cover. Those of under
     400 bytes stay in the kept bytes; ``remove`` takes them out.
     """

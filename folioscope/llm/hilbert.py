@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -85,26 +86,28 @@ def shard_by_curve(rows: DataFrame, dims: dict[str, Column], shards: int, bits:
     ``dims`` names the grid coordinates (ints under 2**bits). ``tie`` orders rows of one cell; together they
     should tell rows apart. Only the columns of ``rows`` are sorted and staged, so pass narrow rows and
     join the payload by key when the shards are written. Empty input gives empty output; repeated rows
-    take a slot each. A column of ``rows`` may not be named like one that is added.
+    take a slot each. Where ``rows`` has a column of an added one's name, underscores are put behind the added name.
     """
-    names = list(dims)
-    coded = rows.withColumns({f"_d{i}": dims[n] for i, n in enumerate(names)})
     keep = rows.columns
-    schema = common.arrow_type(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", hilbert long")
+    plain = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *[d.alias(f"d{i}") for i, d in enumerate(dims.values())])
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(rows.schema.fields)]
+    out = StructType([*fields, StructField("h", LongType())])
+    schema = to_arrow_schema(out)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.stack([b.column(len(keep) + i).to_numpy(zero_copy_only=False) for i in range(len(names))]) if b.num_rows else np.zeros((len(names), 0))
+            at = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[len(keep) :]])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(hilbert_index(at, bits))], schema=schema)
 
     common.ship(rows.sparkSession)
-    curve = coded.mapInArrow(index, StructType([*rows.schema.fields]).add("hilbert", LongType()))
-    ranked = common.global_rank(curve, ["hilbert", *(tie or keep)], name="_rank")
+    order = ["h", *(f"c{keep.index(c)}" for c in tie or keep)]
+    ranked = common.global_rank(plain.mapInArrow(index, out), order, name="r")
     n = max(ranked.count(), 1)
     # run s starts at the least rank r with floor(r * shards / n) = s
-    shard = F.floor(F.expr(f"(_rank * {shards}L) div {n}L"))
-    start = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_rank") - start).drop("_rank")
+    ranked = ranked.withColumn("shard", F.expr(f"int((r * {shards}L) div {n}L)"))
+    slot = F.col("r") - F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
+    added = {"hilbert": F.col("h"), "shard": F.col("shard"), "slot": slot}
+    return ranked.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[v.alias(common.free_name(k, keep)) for k, v in added.items()])
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, key: list[str], path: str, files: int | None = None) -> None:
@@ -112,12 +115,16 @@ def write_shards(docs: DataFrame, placed: DataFrame, key: list[str], path: str,
 
     About ``files`` tasks (as many as the session's partitions) write; a shard is cut among several of them, in runs of slots, and its files'
     names sort like its slots. ``placed`` has a row of (key, shard, slot) for each of ``docs``; rows without one are left out, a repeated
-    key meets every row of it, and null keys are equal.
+    key meets every row of it, and null keys are equal. Where ``docs`` has a column shard or slot, underscores are put behind the written one's name.
     """
-    on = common.same(docs, placed, key)
-    joined = docs.join(placed.select(*key, "shard", "slot"), on).select(*[docs[c] for c in docs.columns], placed["shard"], placed["slot"])
-    spread = joined.repartitionByRange(files or common.shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
-    spread.write.partitionBy("shard").parquet(path)
+    names = [common.free_name(c, docs.columns) for c in ("shard", "slot")]
+    right = placed.select(*[F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(key)], *[F.col(c).alias(f"_{c}") for c in ("shard", "slot")])
+    on = F.lit(True)
+    for i, c in enumerate(key):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"_key{i}"))
+    joined = docs.join(right, on).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_{c}").alias(n) for c, n in zip(("shard", "slot"), names)])
+    spread = joined.repartitionByRange(files or common.shuffle_partitions(docs.sparkSession), *names).sortWithinPartitions(*names)
+    spread.write.partitionBy(names[0]).parquet(path)
 
 
 def op10_hilbert_sharding(spark, sf_dir: str, shards: int = 24) -> DataFrame:

@@ -288,6 +288,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", find:
 
 
 def op4_simhash_anchors(spark, sf_dir: str) -> DataFrame:
-    """All documents with their fingerprints and components."""
+    """All documents with their fingerprints and components; an empty table gives no rows. Cases as in ``near_duplicates``."""
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")

@@ -84,3 +84,15 @@ def test_written_shards_prune_every_dimension(spark, tmp_path):
         return n / len(files)
 
     assert read("lang", "es") < 0.6 and read("source", "s3") < 0.6 and read("size", 6000) < 0.6
+
+
+def test_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 3, -1, "h", 9) for i in range(50)], "slot long, d0 int, Shard int, hilbert string, r int")
+    out = hilbert.shard_by_curve(df, {"d": F.col("d0")}, 4, bits=4, tie=["slot"])
+    assert out.columns == ["slot", "d0", "Shard", "hilbert", "r", "hilbert_", "shard_", "slot_"]
+    rows = out.collect()
+    assert sorted(r.slot for r in rows) == list(range(50)) and {r.shard_ for r in rows} == {0, 1, 2, 3} and all(r.Shard == -1 and r.r == 9 for r in rows)
+    placed = out.select(F.col("slot").alias("id"), F.col("shard_").alias("shard"), F.col("slot_").alias("slot"))
+    hilbert.write_shards(df.select(F.col("slot").alias("id"), "Shard", "r"), placed, ["id"], str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 50 and set(back.columns) == {"id", "Shard", "r", "slot", "shard_"}
