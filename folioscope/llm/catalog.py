@@ -16,4 +16,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_normaliser": warc.OP1_SQL, "op2_chat_formatting": chat.OP2_SQL, "op9_exact_top_k": topk.OP9_SQL}
+    return {
+        "op1_warc_normaliser": warc.OP1_SQL,
+        "op2_chat_formatting": chat.OP2_SQL,
+        "op3_suffix_dedup": exactdedup.OP3_SQL,
+        "op6_pfair_mixing": mixing.OP6_SQL,
+        "op9_exact_top_k": topk.OP9_SQL,
+    }

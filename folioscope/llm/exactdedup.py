@@ -528,3 +528,49 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     400 bytes stay in the kept bytes; ``remove`` takes them out.
     """
     return digests(with_spans(common.table(spark, sf_dir, "documents"), "doc_id", "text", words=PASSAGE))
+
+
+#: Every start of 400 bytes by its MD5, cut from pieces of hexadecimal digits; and every window of 51 words.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS (
+  SELECT *, CAST(length(x) // 2 AS BIGINT) AS n FROM d
+), c AS (
+  SELECT r, n, pos, substr(x, 2 * pos + 1, 2 * 1399) AS part FROM (SELECT r, n, x, unnest(range(0, n - 399, 1000)) AS pos FROM b)
+), s AS (
+  SELECT r, pos + i AS i, md5_number(substr(part, 2 * i + 1, 800)) AS h FROM (SELECT r, pos, part, unnest(range(0, least(1000, n - 399 - pos))) AS i FROM c)
+), again AS (
+  SELECT r, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)
+), cut AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM again
+), runs AS (
+  SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM cut) GROUP BY r, k
+), before AS (
+  SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS last FROM runs
+), gone AS (
+  SELECT r, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS hi, string_agg(substr(x, 2 * last + 1, 2 * (lo - last)), '' ORDER BY lo) AS kept
+  FROM before JOIN b USING (r) GROUP BY r
+), v AS (
+  SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, regexp_extract_all(t, '[\x20\x09-\x0D]+') AS blanks, regexp_matches(t, '^[\x20\x09-\x0D]') AS indented FROM d
+), w AS (
+  SELECT r, unnest(words) AS word, unnest((CASE WHEN indented THEN blanks ELSE list_concat([''], blanks) END)[1:len(words)]) AS blank, unnest(range(1, len(words) + 1)) AS k FROM v
+), p AS (
+  SELECT r, k, word, sum(strlen(word) + strlen(blank)) OVER (PARTITION BY r ORDER BY k) AS hi, sum(strlen(word) + strlen(blank)) OVER (PARTITION BY r ORDER BY k) - strlen(word) AS lo FROM w
+), f AS (
+  SELECT r, k, lo, max(hi) OVER o AS hi, count(*) OVER o AS n, md5_number(string_agg(word, ' ') OVER o) AS h FROM p
+  WINDOW o AS (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)
+), shared AS (
+  SELECT r, k, lo, hi FROM f WHERE n = 51 AND h IN (SELECT h FROM f WHERE n = 51 GROUP BY h HAVING min(r) < max(r))
+), islands AS (
+  SELECT r, min(lo) AS lo, max(hi) AS hi FROM (
+    SELECT r, lo, hi, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS island FROM (SELECT *, CASE WHEN lo <= lag(hi) OVER (PARTITION BY r ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM shared)
+  ) GROUP BY r, island
+), passages AS (
+  SELECT r, count(*) AS n_passages, CAST(sum(hi - lo) AS BIGINT) AS n_passage_bytes FROM islands GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN kept IS NULL THEN x ELSE kept || substr(x, 2 * hi + 1) END)) AS kept_sha256,
+  coalesce(n_passages, 0) AS n_passages, coalesce(n_passage_bytes, 0) AS n_passage_bytes
+FROM b LEFT JOIN gone USING (r) LEFT JOIN passages USING (r)
+"""

@@ -169,3 +169,31 @@ def op6_pfair_mixing(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("th"))
     out = mix(docs, "source", ["doc_id", "th"])
     return out.select("doc_id", "source", "block", "slot", "place", F.col("share").cast("long").alias("share"))
+
+
+#: A slot at a time: of the released blocks, that of the earliest deadline; a new phase begins when a source ends.
+OP6_SQL = f"""
+WITH RECURSIVE n AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), o AS (
+  SELECT source, CAST(row_number() OVER (ORDER BY source NULLS FIRST) AS BIGINT) AS s, CAST((n + {BLOCK - 1}) // {BLOCK} AS BIGINT) AS blocks, CAST(greatest(1, floor(sqrt(n))) AS BIGINT) AS share FROM n
+), a AS (
+  SELECT list(blocks ORDER BY s) AS blocks, list(share ORDER BY s) AS share, list(CAST(0 AS BIGINT) ORDER BY s) AS none FROM o
+), e AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS t, blocks AS rest, none AS had, share, none, CAST(NULL AS BIGINT) AS s FROM a
+  UNION ALL
+  SELECT slot + 1, CASE WHEN rest[pick] = 1 THEN 0 ELSE t + 1 END,
+    list_transform(rest, lambda x, i: CASE WHEN i = pick THEN x - 1 ELSE x END),
+    CASE WHEN rest[pick] = 1 THEN none ELSE list_transform(had, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END) END, share, none, pick
+  FROM (
+    SELECT *, list_min(list_transform(list_filter(range(1, len(rest) + 1), lambda i: rest[i] > 0 AND had[i] * period // share[i] <= t),
+      lambda i: {{'d': ((had[i] + 1) * period + share[i] - 1) // share[i], 's': i}})).s AS pick
+    FROM (SELECT *, list_sum(list_transform(share, lambda x, i: CASE WHEN rest[i] > 0 THEN x ELSE 0 END)) AS period FROM e WHERE list_sum(rest) > 0)
+  )
+), slots AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS block, o.share FROM e JOIN o USING (s) WHERE slot >= 0
+), d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS k FROM documents
+)
+SELECT doc_id, d.source AS source, block, slot, k % {BLOCK} AS place, share FROM d JOIN slots ON d.source IS NOT DISTINCT FROM slots.source AND k // {BLOCK} = block
+"""
