@@ -22,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_suffix_dedup": exactdedup.OP3_SQL,
         "op6_pfair_mixing": mixing.OP6_SQL,
         "op9_exact_top_k": topk.OP9_SQL,
+        "op10_hilbert_sharding": hilbert.OP10_SQL,
     }

@@ -139,3 +139,58 @@ def op10_hilbert_sharding(spark, sf_dir: str, shards: int = 24) -> DataFrame:
     rows = with_cells(rows, ["lang", "source"], 8).drop("lang", "source")
     out = shard_by_curve(rows, dims, shards, tie=["text_crc32", "size", "doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _curve_sql(source: str, names: list[str], bits: int) -> str:
+    """``hilbert_index`` as common table expressions over the table ``source`` with a coordinate in each column of ``names``; the last is named curve."""
+    steps, last = [], source
+
+    def step(**columns: str) -> None:
+        nonlocal last
+        steps.append(f"{source}{len(steps)} AS MATERIALIZED (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in columns.items())}) FROM {last})")
+        last = f"{source}{len(steps) - 1}"
+
+    first = names[0]
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for x in names:
+            t = f"CASE WHEN {x} & {q} <> 0 THEN 0 ELSE xor({first}, {x}) & {q - 1} END"
+            flipped = f"xor({first}, CASE WHEN {x} & {q} <> 0 THEN {q - 1} ELSE xor({first}, {x}) & {q - 1} END)"
+            step(**({first: flipped} if x == first else {first: flipped, x: f"xor({x}, {t})"}))
+    for before, x in zip(names, names[1:]):
+        step(**{x: f"xor({x}, {before})"})
+    t = "0"
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        t = f"xor({t}, CASE WHEN {names[-1]} & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    step(**{x: f"xor({x}, {t})" for x in names})
+    n = len(names)
+    index = " + ".join(f"(({x} >> {b}) & 1) * {1 << (b * n + n - 1 - i)}" for b in range(bits) for i, x in enumerate(names))
+    return ", ".join(steps) + f", curve AS (SELECT *, {index} AS hilbert FROM {last})"
+
+
+_CRC = [0] * 256
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC[_i] = _c
+
+OP10_SQL = f"""
+WITH d AS (
+  SELECT doc_id, lang, source, hex(encode(coalesce(text, ''))) AS x FROM documents
+), r AS (
+  SELECT doc_id, lang, source, CAST(length(x) // 2 + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(x, '..'), lambda b: CAST('0x' || b AS BIGINT))),
+      lambda crc, b: xor(crc >> 8, ({_CRC})[(xor(crc, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d
+), l AS (
+  SELECT 0 AS dim, lang AS label FROM documents WHERE lang IS NOT NULL UNION SELECT 1, source FROM documents WHERE source IS NOT NULL
+), c AS (
+  SELECT dim, label, CAST(1 + (row_number() OVER (PARTITION BY dim ORDER BY label) - 1) * 255 // greatest(count(*) OVER (PARTITION BY dim), 255) AS BIGINT) AS cell FROM l
+), g AS (
+  SELECT r.*, coalesce(a.cell, 0) AS x0, coalesce(b.cell, 0) AS x1, CAST(least(floor(ln(size + 1) / ln(2) * 10), 255) AS BIGINT) AS x2
+  FROM r LEFT JOIN c a ON a.dim = 0 AND a.label = lang LEFT JOIN c b ON b.dim = 1 AND b.label = source
+), {_curve_sql("g", ["x0", "x1", "x2"], 8)}, k AS (
+  SELECT *, row_number() OVER (ORDER BY hilbert, text_crc32, size, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM curve
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 24 // n AS INTEGER) AS shard, place - (place * 24 // n * n + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM k
+"""
