@@ -1,7 +1,7 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A score is the sum of ``SLICES`` partial scores, one per slice of the dimensions. Phase 1 gathers local lists: of each block of
-candidates, the k best of a query by the first slice alone, with their exact scores. The k-th best of these is a safe cutoff: no
+candidates, those best for a query by the first slice alone, with their exact scores. The k-th best of these is a safe cutoff: no
 query's true k-th score is lower than the best of them over the blocks. Phase 2 hands the cutoffs to every block. Phase 3
 collects what may suffice: an entry reaches the cutoff only if, in some slice, it reaches cutoff / SLICES, so candidates whose
 length in every slice is too short for that are left out before anything is multiplied. The others are summed slice by slice,
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SLICES, LOWEST = 4, -(2**63)
-#: Queries that are compared with a block of candidates at a time.
-STEP = 256
+#: Queries that are compared with a block of candidates at a time; candidates that are tried before all are held against a bound.
+STEP, PROBE = 256, 128
+#: Length of local lists, in times k: what is best by one slice alone need not be best.
+LISTED = 16
 BLOCK = "block long, n int, dim int, kind string, ids binary, rows binary, data binary"
 
 
@@ -106,7 +108,7 @@ def lengths(m: np.ndarray) -> np.ndarray:
 
 
 def gather(q: np.ndarray, c: np.ndarray, own: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray | None:
-    """Phase 1: per query the least of the exact scores of its k best candidates by the first slice; None if there are no k others."""
+    """Phase 1: per query the k-th best exact score among its ``LISTED`` * k best candidates by the first slice; None if there are no k others."""
     n = len(c) - 1
     if n < k:
         return None
@@ -115,13 +117,15 @@ def gather(q: np.ndarray, c: np.ndarray, own: tuple[np.ndarray, np.ndarray], k:
     first = (slices(q.shape[1]) or [slice(0, 0)])[0]
     local = a[:, first] @ b[:, first].T
     local[own] = np.iinfo(kind).min if kind is np.int64 else -np.inf
-    chosen = np.argpartition(local, len(c) - k, axis=1)[:, len(c) - k :]
-    score = np.stack([b[at] @ x for at, x in zip(chosen, a)]) if len(a) else np.zeros((0, k), kind)
-    return score.min(1).astype(np.int64)
+    width = min(n, LISTED * k)
+    chosen = np.argpartition(local, len(c) - width, axis=1)[:, len(c) - width :]
+    score = np.stack([b[at] @ x for at, x in zip(chosen, a)]) if len(a) else np.zeros((0, width), kind)
+    return np.partition(score, width - k, axis=1)[:, width - k].astype(np.int64)
 
 
 def resolve(q: np.ndarray, c: np.ndarray, own: tuple[np.ndarray, np.ndarray], cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Phases 2 and 3: (query, candidate, score) of all entries that reach their query's cutoff, and how many scores' worth of products that took."""
+    """Phases 2 and 3: (query, candidate, score) of all entries that reach their query's cutoff, and how many scores' worth of products
+    that took, a few probes aside."""
     kind = exact_type(q, c)
     rows, parts, done = np.arange(len(c)), slices(q.shape[1]), 0
     a, b = q.astype(kind), c.astype(kind)
@@ -137,14 +141,27 @@ def resolve(q: np.ndarray, c: np.ndarray, own: tuple[np.ndarray, np.ndarray], cu
             local |= lc[s] >= least
         rows = np.flatnonzero(local)
         rest_q, rest_c = (np.sqrt(np.cumsum((x**2)[::-1], axis=0)[::-1]) * (1 + 1e-9) for x in (lq, lc))
+    if len(rows) < len(c):
+        b = b[rows]
     total = np.zeros((len(q), len(rows)), kind)
-    for s, part in enumerate(parts):
-        total += a[:, part] @ b[rows, part].T
-        done += total.size * (part.stop - part.start)
-        if pruned and s + 1 < len(parts) and total.size:
-            open_ = (total + rest_q[s + 1][:, None].astype(np.float32) * (rest_c[s + 1][rows].astype(np.float32) * np.float32(1 + 1e-5)) >= limit[:, None]).any(0)
-            if open_.mean() < 0.8:
-                rows, total = rows[open_], total[:, open_]
+
+    def reach(total: np.ndarray, s: int, at: np.ndarray) -> np.ndarray:
+        """Which candidates may still reach some query's cutoff, from slice s on."""
+        rest = rest_q[s][:, None].astype(np.float32) * (rest_c[s][at].astype(np.float32) * np.float32(1 + 1e-5))
+        return (total + rest >= limit[:, None]).any(0)
+
+    ends = [part.stop for part in parts]
+    if pruned and total.size:  # a few candidates tell after which slices looking at all of them may pay
+        few = np.arange(0, len(rows), -(-len(rows) // PROBE))
+        ends = [e for s, e in enumerate(ends, 1) if s == len(ends) or reach(a[:, :e] @ b[few, :e].T, s, rows[few]).mean() < 0.8]
+    at = 0
+    for e in ends:
+        total += a[:, at:e] @ b[:, at:e].T
+        done += total.size * (e - at)
+        at = e
+        if pruned and e < ends[-1]:
+            open_ = reach(total, [p.stop for p in parts].index(e) + 1, rows)
+            rows, b, total = rows[open_], b[open_], total[:, open_]
     over = total >= cut[:, None]
     if len(own[0]) and len(rows):
         at = np.minimum(np.searchsorted(rows, own[1]), len(rows) - 1)
