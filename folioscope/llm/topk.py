@@ -9,7 +9,8 @@ and after each slice candidates go for which what is missing, bounded by the len
 remains after the last slice has its exact score.
 
 On vectors without any structure the bounds leave out little, and each pair of a query and a candidate is multiplied once and a
-quarter. Vectors travel in blocks of fixed size. Each block of queries visits each slot of candidate blocks; nothing is
+quarter. Vectors travel in blocks of fixed size. Each task holds some blocks of candidates and reads all blocks of queries, one
+after the other, from the shared folder, so queries are neither shuffled nor broadcast, however many tasks there are; nothing is
 sent to the driver and no list is longer than a block.
 """
 
@@ -19,10 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.session import file_system
+
 from . import common
 
 SLICES, LOWEST = 4, -(2**63)
@@ -30,6 +35,8 @@ SLICES, LOWEST = 4, -(2**63)
 STEP, PROBE = 256, 128
 #: Length of local lists, in times k: what is best by one slice alone need not be best.
 LISTED = 16
+#: A task holds candidates of so many bytes (a block at least), and reads the queries once for each such hold.
+HELD = 32 << 20
 BLOCK = "block long, n int, dim int, kind string, ids binary, rows binary, data binary"
 
 
@@ -179,26 +186,63 @@ def _own(qi: np.ndarray, ci: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, order[at[rows]]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(row, first query, queries, candidates, places of own rows) for pieces of each block pair."""
+def _held(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[list[dict]]:
+    """Candidate blocks, in lists of up to ``most`` bytes of vectors."""
+    held, size = [], 0
     for b in batches:
         for i in range(b.num_rows):
             r = {k: v[0] for k, v in b.slice(i, 1).to_pydict().items()}
-            width = max(r["q_dim"], r["dim"])
-            q, c = _matrix(r["q_n"], r["q_dim"], r["q_kind"], r["q_data"], width), _matrix(r["n"], r["dim"], r["kind"], r["data"], width)
-            qr, cr = np.frombuffer(r["q_rows"], "i8"), np.frombuffer(r["rows"], "i8")
-            for lo in range(0, len(q), STEP):
-                yield r, lo, q[lo : lo + STEP], c, _own(qr[lo : lo + STEP], cr)
-
-
-def _gather(k: int):
+            if held and size + len(r["data"]) > most:
+                yield held
+                held, size = [], 0
+            held.append(r)
+            size += len(r["data"])
+    if held:
+        yield held
+
+
+def _read(uri: str) -> Iterator[tuple[dict, np.ndarray]]:
+    """(row, cutoffs) of each staged block of queries, a few rows at a time; cutoffs are the lowest where the table has none."""
+    system, at = file_system(uri)
+    for x in sorted(system.get_file_info(fs.FileSelector(at)), key=lambda x: x.path):
+        if not x.base_name.endswith(".parquet"):
+            continue
+        with system.open_input_file(x.path) as f:
+            for b in pq.ParquetFile(f).iter_batches(batch_size=8, use_threads=False):
+                plain = b.select([c for c in b.schema.names if c != "cutoffs"]).to_pylist()
+                for i, r in enumerate(plain):
+                    cut = np.full(r["n"], LOWEST, np.int64)
+                    if "cutoffs" in b.schema.names and b.column("cutoffs")[i].is_valid:
+                        listed = b.column("cutoffs")[i].values
+                        cut[listed.field("i").to_numpy()] = listed.field("cutoff").to_numpy()
+                    yield r, cut
+
+
+def _meet(q: dict, c: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """(first query, queries, candidates, places of own rows) for pieces of a pair of blocks."""
+    width = max(q["dim"], c["dim"])
+    qm, cm = (_matrix(x["n"], x["dim"], x["kind"], x["data"], width) for x in (q, c))
+    qr, cr = (np.frombuffer(x["rows"], "i8") for x in (q, c))
+    for lo in range(0, len(qm), STEP):
+        yield lo, qm[lo : lo + STEP], cm, _own(qr[lo : lo + STEP], cr)
+
+
+def _gather(k: int, uri: str):
+    """Phase 1 in the blocks of a task."""
     schema = common.arrow_type("q_block long, i int, cutoff long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, lo, q, c, own in _pairs(batches):
-            cut = gather(q, c, own, k)
-            if cut is not None:
-                yield common.to_batch({"q_block": [r["q_block"]] * len(q), "i": list(range(lo, lo + len(q))), "cutoff": cut.tolist()}, schema)
+        for held in _held(batches):
+            for r, best in _read(uri):
+                any_ = False
+                for c in held:
+                    for lo, q, cm, own in _meet(r, c):
+                        cut = gather(q, cm, own, k)
+                        if cut is not None:
+                            any_ = True
+                            best[lo : lo + len(q)] = np.maximum(best[lo : lo + len(q)], cut)
+                if any_:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(r["n"], r["block"])), pa.array(np.arange(r["n"], dtype=np.int32)), pa.array(best)], schema=schema)
 
     return run
 
@@ -206,24 +250,25 @@ def _gather(k: int):
 FOUND = "query_id long, query_row long, vec_id long, score long"
 
 
-def _resolve(k: int):
+def _resolve(k: int, uri: str):
     """Phases 2 and 3 in a block, and the block's k best."""
     schema = common.arrow_type(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, lo, q, c, own in _pairs(batches):
-            cut = np.full(r["q_n"], LOWEST, np.int64)
-            for x in r["cutoffs"] or []:
-                cut[x["i"]] = x["cutoff"]
-            at_q, at_c, score, _ = resolve(q, c, own, cut[lo : lo + len(q)])
-            qi, qr, ci = (np.frombuffer(r[x], "i8") for x in ("q_ids", "q_rows", "ids"))
-            ids = ci[at_c]
-            order = np.lexsort((ids, -score.astype(object) if len(score) and score.min() == LOWEST else -score, at_q))
-            at_q = at_q[order]
-            first = np.searchsorted(at_q, np.arange(len(q)))
-            keep = np.arange(len(at_q)) - first[at_q] < k
-            order, at_q = order[keep], at_q[keep] + lo
-            yield pa.RecordBatch.from_arrays([pa.array(qi[at_q]), pa.array(qr[at_q]), pa.array(ids[order]), pa.array(score[order])], schema=schema)
+        for held in _held(batches):
+            for r, cut in _read(uri):
+                qi, qr = (np.frombuffer(r[x], "i8") for x in ("ids", "rows"))
+                for c in held:
+                    ci = np.frombuffer(c["ids"], "i8")
+                    for lo, q, cm, own in _meet(r, c):
+                        at_q, at_c, score, _ = resolve(q, cm, own, cut[lo : lo + len(q)])
+                        ids = ci[at_c]
+                        order = np.lexsort((ids, -score.astype(object) if len(score) and score.min() == LOWEST else -score, at_q))
+                        at_q = at_q[order]
+                        first = np.searchsorted(at_q, np.arange(len(q)))
+                        keep = np.arange(len(at_q)) - first[at_q] < k
+                        order, at_q = order[keep], at_q[keep] + lo
+                        yield pa.RecordBatch.from_arrays([pa.array(qi[at_q]), pa.array(qr[at_q]), pa.array(ids[order]), pa.array(score[order])], schema=schema)
 
     return run
 
@@ -237,17 +282,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int =
     spark = candidates.sparkSession
     common.ship(spark)
     slots = slots or common.shuffle_partitions(spark)
-    c = common.materialize(blocks(candidates, candidate_block), "candidates").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)))
-    q = common.materialize(blocks(queries, query_block), "queries")
-    q = q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns])
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")
-
-    def meet(q: DataFrame) -> DataFrame:
-        return q.select("*", everywhere).join(c, "slot").drop("slot")
-
-    cutoffs = meet(q).mapInArrow(_gather(k), "q_block long, i int, cutoff long").groupBy("q_block", "i").agg(F.max("cutoff").alias("cutoff"))
-    listed = cutoffs.groupBy("q_block").agg(F.collect_list(F.struct("i", "cutoff")).alias("cutoffs"))
-    found = meet(q.join(listed, "q_block", "left")).mapInArrow(_resolve(k), FOUND)
+    c = common.materialize(blocks(candidates, candidate_block), "candidates").repartition(slots, "block")
+    q, at = common.stage(blocks(queries, query_block), "queries")
+    cutoffs = c.mapInArrow(_gather(k, at), "q_block long, i int, cutoff long").groupBy("q_block", "i").agg(F.max("cutoff").alias("cutoff"))
+    listed = cutoffs.groupBy("q_block").agg(F.collect_list(F.struct("i", "cutoff")).alias("cutoffs")).hint("merge")
+    _, cut = common.stage(q.join(listed, q["block"] == listed["q_block"], "left").drop("q_block"), "queries-cut")
+    common.discard(spark, at)
+    found = c.mapInArrow(_resolve(k, cut), FOUND)
     w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "query_row", "rank", "vec_id", "score")
 

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from folioscope.llm import common, topk
 
@@ -88,3 +89,20 @@ def test_bounds_hold_at_any_size(scale):
         want = full >= cut[:, None]
         want[own] = False
         assert (np.stack((at_q, at_c)) == np.stack(np.nonzero(want))).all() and (score == full[want]).all() and work <= full.size
+
+
+def test_queries_are_never_broadcast(spark):
+    """However many tasks there are: queries reach them through the shared folder, not through the driver."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    r = random.Random(16)
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(8)]) for i in range(200)]
+    assert run(spark, rows, query_block=4, candidate_block=30, slots=9) == brute(rows, 20)
+    executions = store.executionsList(int(seen), 1000)
+    plans = [executions.apply(i).physicalPlanDescription() for i in range(executions.size())]
+    assert any("MapInArrow" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_held_candidates_are_bounded():
+    t = pa.table({"block": range(7), "data": [bytes(n) for n in (3, 4, 5, 30, 1, 2, 3)]})
+    assert [[c["block"] for c in held] for held in topk._held(t.to_batches(2), 10)] == [[0, 1], [2], [3], [4, 5, 6]]
