@@ -19,7 +19,10 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by a Jaccard likeness of 5-word shingles of at least 0.8."""
+    """One document, that of the least id, of each group linked by a Jaccard likeness of 5-word shingles of at least 0.8.
+
+    SimHash over anchors finds what differs in few bits, prefix filtering what SimHash misses; whole sets decide on both.
+    """
     return simhash.one_of_each(docs, find=jaccard.near_copies)
 
 

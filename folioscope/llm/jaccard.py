@@ -1,5 +1,10 @@
 """Near copies: all pairs of texts whose sets of 5-word shingles have a Jaccard likeness of at least 0.8.
 
+SimHash comes first: each set has a fingerprint, and those within ``DISTANCE`` bits are grouped through anchor points (``simhash``).
+Each member of such a group whose whole set is alike enough to that of the group's first is linked to it. Likeness of 0.8 may well
+show in more bits than any anchors can afford, so the pairs that aren't linked by then are sought by prefix filtering, without
+loss, and pairs that SimHash has put in one linked group are left out there.
+
 Shingles are put in one order for all texts, frequent ones (by a sample) last. Of two sets that are alike enough, each holds one
 of the other's shingles among its first ``prefix_length``; so only these are brought together, by shingle. Sizes and places
 in the order rule out many pairs that meet. Parity sketches rule out nearly all others that aren't alike enough, and no
@@ -23,6 +28,9 @@ from . import common, simhash
 WORDS, NUM, DEN = 5, 4, 5
 #: One text in so many is sampled; shingles of at least OFTEN sampled texts are put last, at most LISTED of them.
 SAMPLE, OFTEN, LISTED = 8, 4, 200_000
+#: Fingerprints link at so many differing bits: the most that two flipped bits in one of three blocks cover, at about 300 replicas.
+#: Random fingerprints are rarely so near, three in 10**10 pairs.
+DISTANCE, BLOCKS = 8, 3
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -80,8 +88,8 @@ def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, names: list[str], text: str, late: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(*names, f, n, sketch, first): a digest of the set, its size and sketch, and its first shingles in the common order."""
-    ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names) + ", f long, n int, sketch binary, first array<long>"
+    """(*names, f, n, print, sketch, first): a digest of the set, its size, SimHash and sketch, and its first shingles in the common order."""
+    ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names) + ", f long, n int, print long, sketch binary, first array<long>"
     schema = common.arrow_type(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +99,35 @@ def _sets(docs: DataFrame, names: list[str], text: str, late: np.ndarray, rank:
                 sets = [shingles(t) for t in part.column(len(names)).to_pylist()]
                 f = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64)
                 n = np.array([len(h) for h in sets], np.int32)
+                prints = np.array([simhash.majority(h) for h in sets], np.uint64)
                 first = [ordered(h, late, rank)[: prefix_length(len(h))] for h in sets]
                 ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(f.view(np.int64)), pa.array(n), pa.array([sketch(h) for h in sets], pa.binary()), lists.cast(schema.field("first").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(f.view(np.int64)), pa.array(n), pa.array(prints.view(np.int64)), pa.array([sketch(h) for h in sets], pa.binary()), lists.cast(schema.field("first").type)], schema=schema)
 
     return docs.select(*names, text).mapInArrow(run, ddl)
 
 
-def _meet(n: np.ndarray, pos: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of sets with a shingle in common that can be alike enough, by sizes (ascending) and the shingle's places.
+def _fingerprint_pairs(marked: DataFrame) -> DataFrame:
+    """(a, b): each set of a group that fingerprints within ``DISTANCE`` bits link, with the group's first, that of the least digest."""
+    sets = common.materialize(marked.where("n > 0").select("f", "print").distinct(), "prints")
+    prints = common.materialize(sets.select(F.col("print").alias("f")).distinct(), "fingerprints")
+    roots = common.components(simhash.links(prints, DISTANCE, BLOCKS))
+    member = common.materialize(sets.join(roots, sets["print"] == roots["node"], "left").select("f", F.coalesce("root", "print").alias("root")), "members")
+    first = member.groupBy("root").agg(F.min("f").alias("a"), F.count("*").alias("m")).where("m > 1")
+    return member.join(first, "root").where("f <> a").select("a", F.col("f").alias("b"))
+
+
+def _postings(marked: DataFrame, linked: DataFrame) -> DataFrame:
+    """(f, n, g, pos, h): the first shingles of each set; g is the first set of its group in ``linked``, 0 without a group."""
+    group = linked.select(F.col("b").alias("_f"), F.col("a").alias("g")).union(linked.select("a", "a").distinct())
+    if linked.count() <= common.BROADCAST_ROWS // 2:
+        group = F.broadcast(group)
+    return marked.join(group, marked["f"] == group["_f"], "left").select("f", "n", F.coalesce("g", F.lit(0).cast("long")).alias("g"), F.posexplode("first").alias("pos", "h"))
+
+
+def _meet(n: np.ndarray, pos: np.ndarray, g: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of sets with a shingle in common that can be alike enough, by sizes (ascending), the shingle's places and groups.
 
     If it is the first shingle that two sets share, the rest of the shorter remainder bounds what else they share.
     """
@@ -111,13 +138,13 @@ def _meet(n: np.ndarray, pos: np.ndarray, step: int = 1 << 20) -> Iterator[tuple
         hi = min(len(n), lo + rows)
         top = int(stop[hi - 1])
         i, j = np.arange(lo, hi)[:, None], np.arange(lo, top)[None, :]
-        ok = (j > i) & (j < stop[i]) & ((NUM + DEN) * np.minimum(rest[i], rest[j]) >= NUM * (n[i] + n[j]))
+        ok = (j > i) & (j < stop[i]) & ((NUM + DEN) * np.minimum(rest[i], rest[j]) >= NUM * (n[i] + n[j])) & ((g[i] != g[j]) | (g[i] == 0))
         x, y = np.nonzero(ok)
         yield x + lo, y + lo
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """(a, b): distinct pairs of sets that share one of their first shingles and can be alike enough."""
+    """(a, b): distinct pairs of sets that share one of their first shingles, can be alike enough and aren't of one group."""
     spark = postings.sparkSession
     out = common.arrow_type("a long, b long")
 
@@ -131,7 +158,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
             more = ends - begins > 1
             for s, e in zip(begins[more].tolist(), ends[more].tolist()):
                 f = rows[2, s:e]
-                for x, y in _meet(rows[1, s:e], rows[3, s:e]):
+                for x, y in _meet(rows[1, s:e], rows[3, s:e], rows[4, s:e]):
                     a.append(np.minimum(f[x], f[y]))
                     b.append(np.maximum(f[x], f[y]))
                     if sum(map(len, a)) >= 1 << 20:
@@ -154,7 +181,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
             yield from close(np.concatenate(held, axis=1))
 
     placed = postings.repartition(common.shuffle_partitions(spark), "h").sortWithinPartitions("h", "n", "f")
-    return placed.select("h", "n", "f", "pos").mapInArrow(run, "a long, b long").distinct()
+    return placed.select("h", "n", "f", "pos", "g").mapInArrow(run, "a long, b long").distinct()
 
 
 def _possible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -203,19 +230,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, owners: DataFrame) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
 
 
+def _linked(pairs: DataFrame, marked: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) of sets that are alike enough, staged."""
+    pairs = common.materialize(_possible(pairs, marked), "pairs")
+    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_f")
+    owners = marked.join(ends, marked["f"] == ends["_f"]).groupBy("f").agg(F.min("_of").alias("th"))
+    return common.materialize(_verified(pairs, docs, text, common.materialize(owners, "owners")), "links")
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(key, *carry, f, root, component_id) as ``simhash.near_duplicates`` gives, over links of likeness 0.8 and more; f is the set's digest.
 
-    Texts without words are alike. Links are found without loss; components are their transitive closure.
+    Texts without words are alike. Links come from SimHash groups and, for the pairs that those don't join, from prefix filtering:
+    components are the transitive closure of all links, without loss.
     """
     names = [key, *(carry or [])]
     common.ship(docs.sparkSession)
     hashed = docs.select(*names, text, F.xxhash64(text).alias("_of"))
     marked = common.materialize(_sets(hashed, [*names, "_of"], text, *_frequent(hashed, text)), "sets")
-    postings = marked.select("f", "n", F.posexplode("first").alias("pos", "h"))
-    pairs = common.materialize(_possible(_candidates(postings), marked), "pairs")
-    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_f")
-    owners = marked.join(ends, marked["f"] == ends["_f"]).groupBy("f").agg(F.min("_of").alias("th"))
-    links = _verified(pairs, docs, text, common.materialize(owners, "owners"))
+    alike = _linked(_fingerprint_pairs(marked), marked, docs, text)
+    links = alike.union(_linked(_candidates(_postings(marked, alike)), marked, docs, text))
     distinct = common.materialize(marked.groupBy("f").agg(F.min(key).alias("least")), "distinct")
     return simhash.grouped(marked, distinct, links, names)

@@ -29,7 +29,11 @@ _BLANKS = bytes([*range(9, 14), 32])
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Bit b is set if over half of the shingles' XXH64 (seed 42) have it; 0 without words; a short text is one shingle."""
-    h = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: bit b is set if over half of them have it."""
     return int(np.packbits(_bit_counts(h) * 2 > len(h), bitorder="little").view(np.uint64)[0]) if len(h) else 0
 
 

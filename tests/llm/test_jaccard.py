@@ -64,3 +64,40 @@ def test_all_near_copies_link(spark, monkeypatch, often):
     assert wide > 10 and len(set(root)) < len(rows) - 20
     kept = pipeline.near_duplicates_out(spark, df, "").collect()
     assert {r.doc_id for r in kept} == set(root) and len(kept) == len(set(root))
+
+
+def test_simhash_groups_link_and_are_not_compared_again(spark, monkeypatch):
+    """With no pair from prefix filtering, SimHash still links pairs within its distance; prefix filtering leaves those out."""
+    r = random.Random(29)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for _ in range(25):
+        w = [word() for _ in range(150)]
+        v = [*w[:-1], word()]  # likeness 145/147
+        far = [x if i % 6 else word() for i, x in enumerate(v)]  # far under 0.8, and of no group
+        rows += [" ".join(w), " ".join(v), " ".join(far)]
+    sets = [brute_set(t) for t in rows]
+    like = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    bits = lambda i, j: (simhash.majority(jaccard.shingles(rows[i])) ^ simhash.majority(jaccard.shingles(rows[j]))).bit_count()
+    near = [i for i in range(0, len(rows), 3) if bits(i, i + 1) <= jaccard.DISTANCE]
+    assert len(near) > 20 and all(like(i, i + 1) and not like(i, i + 2) and bits(i, i + 2) > jaccard.DISTANCE for i in near)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    found, candidates = [], jaccard._candidates
+
+    def none(postings):
+        found.append(candidates(postings).collect())
+        return candidates(postings).limit(0)
+
+    monkeypatch.setattr(jaccard, "_candidates", none)
+    out = jaccard.near_copies(df).collect()
+    got, digest = ({r.doc_id: r[c] for r in out} for c in ("component_id", "f"))
+    assert [i for i in range(0, len(rows), 3) if got[i + 1] == i] == near
+    assert all(got[i + 2] == i + 2 for i in range(0, len(rows), 3))
+    again = {tuple(p) for p in found[0]}
+    assert not any(tuple(sorted((digest[i], digest[i + 1]))) in again for i in near)
+
+
+def test_a_group_that_simhash_links_wrongly_is_not_linked(spark, monkeypatch):
+    """Every text is put in one group: links still are those of whole sets, all of them."""
+    monkeypatch.setattr(jaccard, "_fingerprint_pairs", lambda marked: marked.crossJoin(marked.agg({"f": "min"}).toDF("a")).where("n > 0 and f <> a").selectExpr("a", "f b").distinct())
+    test_all_near_copies_link(spark, monkeypatch, 8)
