@@ -8,9 +8,13 @@ temporary folder serves.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ship, table
 
-__all__ = ["arrow_type", "components", "discard", "drop_at_exit", "free_name", "global_rank", "make", "materialize", "new_path", "to_batch", "ship", "shuffle_partitions", "stage", "table"]
+__all__ = ["arrow_type", "components", "discard", "drop_at_exit", "free_name", "global_rank", "lean", "make", "materialize", "new_path", "to_batch", "ship", "shuffle_partitions", "stage", "table"]
 
 _LOCAL: dict[str, str] = {}
 #: A list of small rows is broadcast up to this length, and joined by shuffle beyond.
@@ -177,3 +181,31 @@ def arrow_type(schema: str) -> pa.Schema:
 def to_batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch from Python lists."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def release() -> None:
+    """Gives back to the system what this process has freed: neither malloc nor Arrow's pool does so by itself."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokens: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, so that a worker holds no memory of its earlier tasks.
+
+    Spark uses its Python workers again, for other stages too. Loaded tokenizers go unless the task needs ``tokens``.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = sys.modules.get("folioscope.llm.wordbpe")
+        if loaded is not None and loaded._LOADED and not tokens:
+            loaded._LOADED.clear()
+            release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task

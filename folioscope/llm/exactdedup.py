@@ -220,7 +220,7 @@ def _list_anchors(keyed: DataFrame, kind: str, length: int, gram: int, words: in
             if held[of_words]:
                 yield answer(held[of_words], of_words)
 
-    return keyed.mapInArrow(run, ddl)
+    return keyed.mapInArrow(common.lean(run), ddl)
 
 
 def _windows(texts: list[bytes], listed: list[list], words: int) -> Iterator[tuple]:
@@ -284,7 +284,7 @@ def _cut_contexts(joined: DataFrame, kind: str, length: int, gram: int, words: i
                 row += len(rows)
                 yield common.to_batch(out, schema)
 
-    return joined.mapInArrow(run, ddl)
+    return joined.mapInArrow(common.lean(run), ddl)
 
 
 def _mark(contexts: DataFrame, kind: str, length: int, gram: int, words: int) -> DataFrame:
@@ -368,7 +368,7 @@ def _mark(contexts: DataFrame, kind: str, length: int, gram: int, words: int) ->
         if held:
             yield from answers(held)
 
-    return contexts.mapInArrow(run, ddl)
+    return contexts.mapInArrow(common.lean(run), ddl)
 
 
 def _mark_hot(contexts: DataFrame, kind: str, length: int, words: int) -> DataFrame:
@@ -391,7 +391,7 @@ def _mark_hot(contexts: DataFrame, kind: str, length: int, words: int) -> DataFr
                     n = len(s)
                     yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([i] * n, schema.field(2).type), *(pa.array([v] * n, pa.int64()) for v in (th, row)), pa.array(s), pa.array(s + size), pa.array([anchor < 0] * n)], schema=schema)
 
-    starts = common.materialize(contexts.mapInArrow(run, ddl), "starts")
+    starts = common.materialize(contexts.mapInArrow(common.lean(run), ddl), "starts")
     again = starts.groupBy("h1", "h2", "words").agg(F.count("*").alias("n"), (F.min("row") < F.max("row")).alias("rows")).where("if(words, rows, n > 1)").drop("n", "rows")
     return starts.join(again, ["h1", "h2", "words"]).select("id", "th", "start", "end", "words")
 
@@ -493,7 +493,7 @@ def remove(docs: DataFrame, key: str, text: str, length: int = LENGTH, chars: st
                 columns[count] = pa.array([None if t is None else len(t) for t in texts], schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return whole.select("text", "spans", *[f"c{i}" for i in range(len(names))]).mapInArrow(run, ddl)
+    return whole.select("text", "spans", *[f"c{i}" for i in range(len(names))]).mapInArrow(common.lean(run), ddl)
 
 
 DIGEST = "doc_id {0}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
@@ -516,7 +516,7 @@ def digests(marked: DataFrame) -> DataFrame:
                         out[n].append(v)
                 yield common.to_batch(out, schema)
 
-    return marked.select("id", "text", "spans").mapInArrow(run, ddl)
+    return marked.select("id", "text", "spans").mapInArrow(common.lean(run), ddl)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:

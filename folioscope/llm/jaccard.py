@@ -80,7 +80,7 @@ def _frequent(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], schema=schema)
 
     sampled = docs.where(F.pmod("_of", F.lit(SAMPLE)) == 0).select(text, "_of").dropDuplicates(["_of"]).select(text)
-    counted = sampled.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    counted = sampled.mapInArrow(common.lean(run), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     top = counted.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
     late = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     by = np.argsort(late)
@@ -105,7 +105,7 @@ def _sets(docs: DataFrame, names: list[str], text: str, late: np.ndarray, rank:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(f.view(np.int64)), pa.array(n), pa.array(prints.view(np.int64)), pa.array([sketch(h) for h in sets], pa.binary()), lists.cast(schema.field("first").type)], schema=schema)
 
-    return docs.select(*names, text).mapInArrow(run, ddl)
+    return docs.select(*names, text).mapInArrow(common.lean(run), ddl)
 
 
 def _fingerprint_pairs(marked: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
             yield from close(np.concatenate(held, axis=1))
 
     placed = postings.repartition(common.shuffle_partitions(spark), "h").sortWithinPartitions("h", "n", "f")
-    return placed.select("h", "n", "f", "pos", "g").mapInArrow(run, "a long, b long").distinct()
+    return placed.select("h", "n", "f", "pos", "g").mapInArrow(common.lean(run), "a long, b long").distinct()
 
 
 def _possible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _possible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 
     sets = marked.where("n > 0").select("f", "n", "sketch").dropDuplicates(["f"])
     left, right = sets.toDF("a", "na", "sa"), sets.toDF("b", "nb", "sb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", F.col("na") + F.col("nb")).mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", F.col("na") + F.col("nb")).mapInArrow(common.lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, owners: DataFrame) -> DataFrame:
@@ -225,9 +225,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, owners: DataFrame) -
     if owners.count() <= common.BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select(text, F.xxhash64(text).alias("_of")).join(wanted, F.col("_of") == F.col("_th"), "left_semi").select(text)
-    sets = common.materialize(texts.mapInArrow(whole, ddl).dropDuplicates(["f"]), "sets")
+    sets = common.materialize(texts.mapInArrow(common.lean(whole), ddl).dropDuplicates(["f"]), "sets")
     left, right = sets.select(F.col("f").alias("a"), F.col("h").alias("ha")), sets.select(F.col("f").alias("b"), F.col("h").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(common.lean(compare), "a long, b long")
 
 
 def _linked(pairs: DataFrame, marked: DataFrame, docs: DataFrame, text: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _scheduled(sizes: DataFrame, kind: str, weights: Weights | None, block: int)
             yield pa.RecordBatch.from_arrays([values.take(at), pa.array(number), pa.array(np.arange(slot, slot + len(source))), given.take(at)], schema=schema)
             slot += len(source)
 
-    return common.materialize(sizes.repartition(1).mapInArrow(run, ddl), "schedule")
+    return common.materialize(sizes.repartition(1).mapInArrow(common.lean(run), ddl), "schedule")
 
 
 def mix(docs: DataFrame, source: str, order: list[str], weights: Weights | None = None, block: int = BLOCK) -> DataFrame:

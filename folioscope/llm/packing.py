@@ -103,7 +103,7 @@ def pack(docs: DataFrame, key: str, text: str, vocabulary: str, capacity: int =
                 yield common.to_batch(out, schema)
 
     common.ship(docs.sparkSession)
-    return docs.select(key, text).mapInArrow(run, ddl)
+    return docs.select(key, text).mapInArrow(common.lean(run, tokens=True), ddl)
 
 
 def token_ids(cut: bytes) -> np.ndarray:

@@ -164,9 +164,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None
     blocks = blocks or (3 if prints.count() <= 50_000_000 else 2)
     ddl = "anchor long, home boolean, f long"
     schema = common.arrow_type(ddl)
-    placed = prints.select("f").mapInArrow(lambda it: _anchor_rows(it, blocks, schema, distance), ddl)
+    placed = prints.select("f").mapInArrow(common.lean(lambda it: _anchor_rows(it, blocks, schema, distance)), ddl)
     counted = common.arrow_type("anchor long, n long")
-    homes = prints.select("f").mapInArrow(lambda it: _home_counts(it, blocks, counted, distance), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    homes = prints.select("f").mapInArrow(common.lean(lambda it: _home_counts(it, blocks, counted, distance)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     crowded = common.materialize(homes.where(F.col("n") > hot).select("anchor", F.ceil(F.col("n") / hot).cast("int").alias("shares")), "crowded")
     if crowded.count() <= common.BROADCAST_ROWS:
         crowded = F.broadcast(crowded)
@@ -207,7 +207,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None
             yield close(parts, own)
 
     ordered = dealt.repartition(common.shuffle_partitions(spark), "anchor", "share").sortWithinPartitions("anchor", "share")
-    return ordered.select("anchor", "share", "home", "f").mapInArrow(run, "a long, b long")
+    return ordered.select("anchor", "share", "home", "f").mapInArrow(common.lean(run), "a long, b long")
 
 
 def _home_counts(batches: Iterator[pa.RecordBatch], blocks: int, schema: pa.Schema, distance: int) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, carry: list[str] | None =
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(f.view(np.int64))], schema=schema)
 
     common.ship(docs.sparkSession)
-    return docs.select(*names, text).mapInArrow(run, ddl)
+    return docs.select(*names, text).mapInArrow(common.lean(run), ddl)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, carry: list[str] | None = None) -> DataFrame:
@@ -288,7 +288,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", find:
                 b = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(b.columns[:-3], schema=schema)
 
-    return joined.mapInArrow(run, ddl).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return joined.mapInArrow(common.lean(run), ddl).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op4_simhash_anchors(spark, sf_dir: str) -> DataFrame:

@@ -235,7 +235,7 @@ def _counts(df: DataFrame, column: str, only: set[str] | None) -> DataFrame:
                     c.update(found & only if only is not None else found)
                 yield common.to_batch({"pattern": list(c), "n": list(c.values())}, schema)
 
-    return df.select(column).mapInArrow(run, ddl).groupBy("pattern").agg(F.sum("n").alias("n"))
+    return df.select(column).mapInArrow(common.lean(run), ddl).groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -290,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 part = b.slice(lo, 500)
                 yield common.to_batch({"toxic": part.column(1).to_pylist(), "x": [scorer.features(t).tolist() for t in part.column(0).to_pylist()]}, schema)
 
-    seen = rows.mapInArrow(features, ddl).collect()
+    seen = rows.mapInArrow(common.lean(features), ddl).collect()
     x, y = np.array([r.x for r in seen]), np.array([float(r.toxic) for r in seen])
     order = np.lexsort((*x.T, y))  # the sum's rounding doesn't hang on the order of tasks
     model.weights, model.bias = _fit(x[order], y[order])
@@ -309,7 +309,7 @@ def _matches(rows: DataFrame, good: set[str]) -> list[tuple[bool, list[str]]]:
                 found = [sorted(w for w in set(_WORD.findall(t.lower())) if w + "$" in good or any(w[:n] in good for n in STEMS if len(w) > n)) for t in part.column(0).to_pylist()]
                 yield common.to_batch({"toxic": part.column(1).to_pylist(), "words": found}, schema)
 
-    return [(r.toxic, r.words) for r in rows.mapInArrow(run, ddl).where("size(words) > 0").collect()]
+    return [(r.toxic, r.words) for r in rows.mapInArrow(common.lean(run), ddl).where("size(words) > 0").collect()]
 
 
 def _lexicon(matches: list[tuple[bool, list[str]]], good: set[str], np_: int, nn: int) -> Model:
@@ -350,7 +350,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
                 yield pa.RecordBatch.from_arrays([*part.columns, score], schema=schema)
 
     common.ship(docs.sparkSession)
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(common.lean(run), kind)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
