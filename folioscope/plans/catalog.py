@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import binary, query_words
 from ..functions.text import host, port, setting, settings
 from ..operators import archive, directory, log, search, suggest
-from ..session import scratch_dir, table
+from ..session import scratch_dir, staged, table
 from ..sources import layout, page_archive
 from ..streaming import events as streams
 
@@ -449,8 +449,9 @@ def archive_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(f"WITH {_ARCHIVES} SELECT r.archive, r.entry_id, t.entry_id AS final_id FROM w r LEFT JOIN w t ON r.archive = t.archive AND r.target = t.full_path WHERE r.kind = 'redirect'")
 def archive_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = page_archive.section(spark, _written(spark, sf_dir), "entries")
-    return directory.resolve_redirects(e).select("archive", "entry_id", "final_id")
+    e = page_archive.section(spark, _written(spark, sf_dir), "entries").select("archive", "entry_id", "kind", "full_path", "redirect_id")
+    e = staged(e.repartition("archive", "entry_id"), "entries")  # read four times; not a file for each archive
+    return directory.ends_by_path(directory.resolve_redirects(e), e)
 
 
 @_register(f"WITH {_ARCHIVES} SELECT archive, entry_id, full_path, title FROM w WHERE kind = 'content' AND nth = 0")

@@ -37,3 +37,17 @@ def test_every_sql_has_its_query():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_redirects_to_a_path_that_several_pages_share(spark, tmp_path, plain):
+    """A row for each page at the path; pages of equal paths in another archive (the first two of 98) are none of them, and without plain pages there is no target."""
+    urls = [f"http://a.example.org/en/{i:03d}" for i in (0, 1, 1, 1, 2, *range(4, 94), 98, 98, 98, 99, 99)] if plain else []
+    urls += [f"http://a.example.org/en/{i:03d}#top" for i in (1, 1, 2, 98, 99)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages AS SELECT CAST(i AS BIGINT) AS page_id, $1[i + 1] AS url, '<title>t</title>' AS html FROM range(len($1)) t(i)", [urls])
+    c.execute(f"COPY pages TO '{tmp_path}/pages.parquet' (FORMAT parquet)")
+    want = c.sql(entry.oracle_sql()["archive_redirects"]).fetchall()
+    got = entry.queries()["archive_redirects"](spark, str(tmp_path)).select("archive", "entry_id", "final_id").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert len(want) > 5 if plain else {w[2] for w in want} == {None}
